@@ -24,5 +24,51 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+OP8 = r"""
+WITH u AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+),
+r(verdict, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+fit AS (
+  SELECT page_id, arg_max(h || r.p, length(h || r.p)) AS rule, arg_max(verdict, length(h || r.p)) AS verdict
+  FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(p.path, r.p) GROUP BY page_id
+)
+SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN fit USING (page_id)
+"""
+
+OP9 = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s),
+c AS (SELECT *, CAST((rank - 1) % 3 + 1 AS DOUBLE) AS weight, CAST(3 * source_size AS DOUBLE) AS cap FROM w),
+f AS (
+  SELECT *, CAST((SELECT sum(source_size) FROM s) AS DOUBLE) - coalesce(sum(cap) OVER o, 0.0) AS rest, (SELECT sum(weight) FROM c) - coalesce(sum(weight) OVER o, 0.0) AS open
+  FROM c WINDOW o AS (ORDER BY source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+l AS (SELECT rest, open FROM f WHERE cap > rest * weight / open ORDER BY source_size / weight, rank LIMIT 1),
+g AS (SELECT min(source_size / weight) AS first_open FROM f WHERE cap > rest * weight / open),
+t AS (
+  SELECT source, rank, source_size,
+         CASE WHEN source_size / weight >= (SELECT first_open FROM g) THEN (SELECT rest FROM l) * weight / (SELECT open FROM l) ELSE cap END AS target FROM f
+),
+e AS (
+  SELECT *, CAST(sum(CAST(floor(target) AS HUGEINT)) OVER (ORDER BY rank) AS HUGEINT) AS cum, CAST((SELECT sum(CAST(floor(target) AS HUGEINT)) FROM t) AS HUGEINT) AS total FROM t
+),
+b AS (SELECT rank, (cum * 2147483648) // total AS hi, coalesce(lag((cum * 2147483648) // total) OVER (ORDER BY rank), 0) AS lo, total FROM e),
+n AS (SELECT rank, count(*) AS slots FROM (SELECT (i % 2147483648) * 1327217885 % 2147483648 AS point FROM range((SELECT CAST((max(total) + 255) // 256 AS BIGINT) FROM b)) AS t(i)) JOIN b ON point >= lo AND point < hi GROUP BY rank),
+a AS (
+  SELECT doc_id, size, t.source_size, target, coalesce(slots, 0) * 256 AS upto,
+         CAST(sum(size) OVER (PARTITION BY t.rank ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS pos0
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN n ON n.rank = t.rank
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(greatest(0, least(pos0 + size, upto) - pos0) + greatest(0, least(source_size + pos0 + size, upto) - source_size - pos0)
+            + greatest(0, least(2 * source_size + pos0 + size, upto) - 2 * source_size - pos0) AS BIGINT) AS taken
+FROM a
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1}
+    return {"op1_decontaminate": OP1, "op8_url_filter": OP8, "op9_mix_sources": OP9}
