@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, merkle, mixing, tokenfile, urlfilter
+from . import decontam, merkle, mixing, neardup, tokenfile, toxicity, urlfilter
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("h", "root")
+
+
 #: verdict, host, path
 URL_RULES = [
     ("block", "com", "/en/"),
@@ -40,5 +44,9 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op5_merkle, op6_token_files, op8_url_filter, op9_mix_sources)}
+    return {f.__name__: f for f in (op1_decontaminate, op5_merkle, op6_token_files, op7_near_duplicates, op8_url_filter, op9_mix_sources, op10_toxicity)}
