@@ -42,14 +42,15 @@ from .common import shared_dir, sliced, tokenizer_path
 DICTIONARY_SAMPLE = 1000
 DICTIONARY_BYTES = 112 << 10
 BLOCK_BYTES = 2 << 20
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 350_000
 LEVEL = 3
 
 #: Byte-level BPE cuts a text into such pieces before it merges; written with Python's classes, which agree with the
 #: Unicode ones but for other numbers (No, Nl) and a few code points that count as space only for some libraries.
-_PIECE = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_PIECE = re.compile(r" ?[A-Za-z]++(?![^\W\d_])|'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_ASCII_PIECE = re.compile(r" ?[A-Za-z]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 _UNSURE = frozenset(map(chr, (*range(0x1C, 0x20), 0x85, 0x180E, *range(0x200B, 0x200E), 0x2060, 0xFEFF, *(c for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) in ("No", "Nl")))))
-_RARE_SPACE = frozenset(map(chr, (9, 11, 12, 13, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+_UNSURE_ASCII = re.compile("[\x1c-\x1f]")
 _ENCODED = "doc_id bigint, part int, n_tokens int, frame binary"
 _BLOCK = "part int, block int, dict_sha256 string, id_bytes int, n_docs int, n_tokens bigint, start bigint, index array<struct<doc_id:bigint,offset:int,length:int,start:bigint,n_tokens:int>>, payload binary"
 
@@ -62,7 +63,7 @@ def _byte_letters() -> str:
 
 
 class _Cache(dict):
-    """Values by key, made when first asked for. When full, it becomes the old generation, from which used keys come back."""
+    """Ids by piece, made when first asked for. When full, it becomes the old generation, from which used keys come back."""
 
     def __init__(self, make, limit: int):
         super().__init__()
@@ -72,7 +73,7 @@ class _Cache(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-            if len(key) > 40 or "\n" in key:  # hardly ever seen again
+            if len(key) > 40:  # hardly ever seen again
                 return value
         if len(self) >= self.limit:
             self.old = dict(self)
@@ -84,9 +85,8 @@ class _Cache(dict):
 class PieceEncoder:
     """Ids of texts as little-endian bytes, equal to the tokenizer's on whole texts.
 
-    With a byte-level tokenizer, words and the pieces of unknown words are looked up in caches of at most twice
-    ``cache`` entries; texts with code points of which the cut isn't certain, and all texts with other tokenizers, are
-    encoded as they are.
+    With a byte-level tokenizer, pieces are looked up in a cache of at most twice ``cache`` entries; texts with code
+    points of which the cut isn't certain, and all texts with other tokenizers, are encoded as they are.
     """
 
     def __init__(self, path: str, cache: int = CACHE_ENTRIES):
@@ -101,30 +101,20 @@ class PieceEncoder:
         letters = _byte_letters()
         self.letters = {b: letters[b] for b in range(256)}
         self.model, self.code = self.tokenizer.model, "H" if self.type.itemsize == 2 else "I"
-        self.pieces, self.words = _Cache(self._piece, cache), _Cache(self._word, cache)
+        self.pieces = _Cache(self._piece, cache)
 
     def _piece(self, piece: str) -> bytes:
         written = piece.encode().decode("latin-1").translate(self.letters)
         return array(self.code, [t.id for t in self.model.tokenize(written)]).tobytes()
 
-    def _text(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text)))
-
-    def _word(self, word: str) -> bytes:
-        return self._text(" " + word)
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        out, whole, word = [b""] * len(texts), [], self.words.__getitem__
+        out, whole, ids = [b""] * len(texts), [], self.pieces.__getitem__
         for i, t in enumerate(texts):
-            if not t:
-                continue
-            if not self.byte_level or not _UNSURE.isdisjoint(t):
+            plain = t.isascii()
+            if not self.byte_level or (_UNSURE_ASCII.search(t) if plain else not _UNSURE.isdisjoint(t)):
                 whole.append(i)
-            elif "  " in t or "\n " in t or " \n" in t or t[0] in " \n" or t[-1] == " " or not _RARE_SPACE.isdisjoint(t):
-                out[i] = self._text(t)
-            else:  # every space stands between two characters that aren't space: no piece crosses the place before it
-                first, *rest = t.split(" ")
-                out[i] = self._text(first) + b"".join(map(word, rest))
+            else:
+                out[i] = b"".join(map(ids, (_ASCII_PIECE if plain else _PIECE).findall(t)))
         if whole:
             for i, x in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
                 out[i] = np.array(x.ids, dtype=self.type).tobytes()
@@ -158,7 +148,8 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, end_id: int
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sample = docs.orderBy(F.xxhash64("doc_id"), "doc_id").select("text").limit(DICTIONARY_SAMPLE).collect()
+    chosen = [r.doc_id for r in docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICTIONARY_SAMPLE).collect()]
+    sample = docs.where(F.col("doc_id").isin(chosen)).orderBy("doc_id", "text").select("text").limit(2 * DICTIONARY_SAMPLE).collect() if chosen else []
     own = encoder(tokenizer)
     end = np.array([end_id], dtype=own.type).tobytes()
     content = train([x + end for x in own.encode([r.text for r in sample])])
