@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, merkle, mixing, neardup, tokenfile, toxicity, urlfilter
+from . import decontam, merkle, mixing, neardup, pii, secret_scan, tokenfile, toxicity, urlfilter
 from .common import table
 
 
@@ -14,6 +14,14 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op5_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_edits(table(spark, sf_dir, "documents"))
 
@@ -49,4 +57,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op5_merkle, op6_token_files, op7_near_duplicates, op8_url_filter, op9_mix_sources, op10_toxicity)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_personal_data, op4_secrets, op5_merkle, op6_token_files, op7_near_duplicates, op8_url_filter, op9_mix_sources, op10_toxicity)}
