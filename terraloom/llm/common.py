@@ -45,8 +45,9 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def code_point_length(c: Column) -> Column:
-    return F.length(c).cast("bigint")
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also within lambdas, where Spark doesn't share common expressions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def normal_words(text: bytes | None) -> list[bytes]:

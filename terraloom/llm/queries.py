@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, merkle, mixing, neardup, pii, secret_scan, tokenfile, toxicity, urlfilter
+from . import decontam, license_scan, merkle, mixing, neardup, pii, secret_scan, tokenfile, toxicity, urlfilter
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -57,4 +61,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_personal_data, op4_secrets, op5_merkle, op6_token_files, op7_near_duplicates, op8_url_filter, op9_mix_sources, op10_toxicity)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_personal_data, op3_licenses, op4_secrets, op5_merkle, op6_token_files, op7_near_duplicates, op8_url_filter, op9_mix_sources, op10_toxicity)}
