@@ -87,13 +87,13 @@ def schedule(shares: DataFrame, block: int = BLOCK) -> DataFrame:
     return _running(ranked, ["rank"], "run", ["slot"], F.lit(1), "k").select("rank", "slot", "k")
 
 
-def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, repeats: int = REPEATS) -> DataFrame:
-    """doc_id, size, source_size, target, taken of each document (one row per input row)."""
+def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, repeats: int = REPEATS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken of each document (one row per input row); ``keep`` adds source or h."""
     size = word_count(F.col(text).cast("string"))
     sized = stage(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"), F.xxhash64(text).alias("h")), "sizes")
     shares = stage(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), repeats), "targets")
     shuffled = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    docs = sized.join(shares, sized["source"].eqNullSafe(shares["source"])).select("doc_id", "size", "source_size", "target", "rank", "h", shuffled.alias("md5"))
+    docs = sized.join(shares, sized["source"].eqNullSafe(shares["source"])).select("doc_id", sized["source"].alias("source"), "size", "source_size", "target", "rank", "h", shuffled.alias("md5"))
     docs = docs.withColumn("bucket", F.substring("md5", 1, HEX))
     placed = _running(docs, ["rank"], "bucket", ["md5", "doc_id", "h"], F.col("size"), "at")
     # a document's words in each of the stream's repeats, cut at the blocks' edges
@@ -105,4 +105,20 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     # a place in a source's stream names one document that has words
     own = placed.withColumn("__place", F.when(F.col("size") > 0, F.col("at")))
     joined = own.join(taken.withColumnRenamed("at", "__place"), ["rank", "__place"], "left")
-    return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+    return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), *keep)
+
+
+def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", **kw) -> DataFrame:
+    """``docs`` as the mix takes them: a row is repeated as often as its words are taken, to the nearest whole number.
+
+    A row cut by the mix's end stays if at least half of its words are taken; one without words is taken once, as it costs nothing. Columns unchanged.
+    Rows of one doc_id, source, size and text hash are taken alike.
+    """
+    taken = mix(docs, doc_id=doc_id, text=text, source=source, keep=("source", "h"), **kw)
+    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).cast("int")
+    # null keys are told apart from values by the names' hash
+    key = lambda i, s, h: F.xxhash64(i, F.coalesce(s, F.lit("")), s.isNull(), h)
+    times = taken.select(key(F.col("doc_id"), F.col("source"), F.col("h")).alias("__key"), F.col("doc_id").alias("__d"), copies.alias("__n")).groupBy("__key", F.coalesce("__d", F.lit(-(2**63))).alias("__i")).agg(F.max("__n").alias("__n")).where("__n > 0")
+    columns = docs.columns
+    own = docs.withColumn("__key", key(F.col(doc_id), F.col(source).cast("string"), F.xxhash64(text))).withColumn("__i", F.coalesce(F.col(doc_id), F.lit(-(2**63))))
+    return own.join(times, ["__key", "__i"]).withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*columns)
