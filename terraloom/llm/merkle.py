@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import let, stage
 
 #: A leaf: up to 60 code points that end no sentence, then what ends one, then one white-space character. Leaves joined give the paragraph.
 LEAF = r"(?s)[^.!?;|]{1,60}[.!?;|]*\s?|[.!?;|]+\s?"
@@ -42,14 +42,14 @@ def fingerprint(text: Column) -> Column:
     def paragraph(p: Column) -> Column:
         found = F.regexp_extract_all(p, F.lit(LEAF), F.lit(0))
         leaves = F.array_join(F.transform(found, lambda x: F.concat(_digest(x), F.lit("."), F.length(x).cast("string"))), ",")
-        return F.concat(_digest(leaves), F.lit(":"), leaves)
+        return let(leaves, lambda x: F.concat(_digest(x), F.lit(":"), x))
 
     def section(s: Column) -> Column:
         inner = F.array_join(F.transform(F.split(s, "\n", -1), paragraph), ";")
-        return F.concat(_digest(inner), F.lit(":"), inner)
+        return let(inner, lambda x: F.concat(_digest(x), F.lit(":"), x))
 
     sections = F.array_join(F.transform(F.split(text, "\n\n", -1), section), "/")
-    return F.concat(F.md5(sections.cast("binary")), F.lit("|"), sections)
+    return let(sections, lambda x: F.concat(F.md5(x.cast("binary")), F.lit("|"), x))
 
 
 def nodes(print_: Column) -> Column:
@@ -64,25 +64,24 @@ def _mass(found: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Weighted Jaccard of the distinct leaves of two fingerprints, 0 to 1."""
-    x, y = nodes(F.substring(a, F.lit(33), F.length(a))), nodes(F.substring(b, F.lit(33), F.length(b)))
-    shared, every = _mass(F.array_intersect(x, y)), _mass(F.array_union(x, y))
-    return F.when(F.substring_index(a, "|", 1) == F.substring_index(b, "|", 1), F.lit(1.0)).when(every == 0, F.lit(0.0)).otherwise(shared / every).cast("double")
+    both = F.struct(nodes(F.substring(a, F.lit(33), F.length(a))).alias("x"), nodes(F.substring(b, F.lit(33), F.length(b))).alias("y"))
+    masses = let(both, lambda n: F.struct(_mass(F.array_intersect(n["x"], n["y"])).alias("shared"), _mass(F.array_union(n["x"], n["y"])).alias("every")))
+    share = let(masses, lambda m: F.when(m["every"] == 0, F.lit(0.0)).otherwise(m["shared"] / m["every"]))
+    return F.when(F.substring_index(a, "|", 1) == F.substring_index(b, "|", 1), F.lit(1.0)).otherwise(share).cast("double")
 
 
 def differing_sections(a: Column, b: Column) -> Column:
     """Zero-based sections and paragraphs of ``a`` (``section.paragraph``) whose digests ``b`` doesn't have in that section."""
     parts = lambda p: F.split(F.substring_index(p, "|", -1), "/", -1)
     inner = lambda s: F.split(F.substring(s, F.lit(18), F.length(s)), ";", -1)
-    other = parts(b)
 
-    def of(s: Column, i: Column) -> Column:
-        theirs = F.coalesce(F.get(other, i), F.lit(""))
+    def of(s: Column, theirs: Column, i: Column) -> Column:
         same = F.substring(s, 1, 16) == F.substring(theirs, 1, 16)
         known = F.transform(inner(theirs), lambda p: F.substring(p, 1, 16))
-        rows = F.transform(inner(s), lambda p, k: F.when(~F.array_contains(known, F.substring(p, 1, 16)), F.concat(i.cast("string"), F.lit("."), k.cast("string"))))
+        rows = let(known, lambda n: F.transform(inner(s), lambda p, k: F.when(~F.array_contains(n, F.substring(p, 1, 16)), F.concat(i.cast("string"), F.lit("."), k.cast("string")))))
         return F.when(same, F.array().cast("array<string>")).otherwise(F.filter(rows, lambda x: x.isNotNull()))
 
-    return F.flatten(F.transform(parts(a), of))
+    return F.flatten(let(parts(b), lambda other: F.transform(parts(a), lambda s, i: of(s, F.coalesce(F.get(other, i), F.lit("")), i))))
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
@@ -122,19 +121,20 @@ def compare_edits(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     The texts are shuffled once, by doc_id; the exchange serves both joins. What a document needs of the next one (a
     start of a quarter of its own length, and the fingerprint) travels back to it.
     """
+    # names of their own: an alias that keeps a name can be dropped on one side of a self-join, and the exchanges would differ
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), t.alias("text"), fingerprint(t).alias("fingerprint"))
-    known = own.where("doc_id is not null")  # said on both sides of the joins, or their exchanges would differ
-    lengths = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.length(t).alias("n")).where("doc_id is not null").groupBy("doc_id").agg(F.max("n").alias("n"))
+    own = docs.select(F.col(doc_id).cast("bigint").alias("d"), t.alias("t"))
+    known = own.where("d is not null")
+    lengths = known.groupBy("d").agg(F.max(F.length("t")).alias("n"))
     # of several rows of an id, each takes what it needs of the longest start
-    asks = next_ids(lengths).join(lengths, "doc_id").select(F.col("doc_id").alias("asker"), F.col("next_id").alias("doc_id"), F.floor(F.col("n") / 4).cast("int").alias("need"))
-    sent = known.join(asks, "doc_id").select("asker", F.struct(F.substring("text", F.lit(1), F.col("need")).alias("start"), F.xxhash64("text").alias("h"), F.col("fingerprint").alias("print")).alias("next"))
+    asks = next_ids(own.select(F.col("d").alias("doc_id"))).join(lengths, F.col("doc_id") == F.col("d")).select(F.col("doc_id").alias("asker"), F.col("next_id").alias("wanted"), F.floor(F.col("n") / 4).cast("int").alias("need"))
+    sent = known.join(asks, F.col("d") == F.col("wanted")).select("asker", F.struct(F.substring("t", F.lit(1), F.col("need")).alias("start"), F.xxhash64("t").alias("h"), fingerprint(F.col("t")).alias("print")).alias("next"))
     sent = sent.groupBy("asker").agg(F.min("next").alias("next"))
-    met = known.join(sent, known["doc_id"] == sent["asker"], "left").select("doc_id", "text", "fingerprint", "next")
-    met = met.unionByName(own.where("doc_id is null").withColumn("next", F.lit(None).cast(met.schema["next"].dataType)))
-    n = F.length("text")
+    met = known.join(sent, F.col("d") == F.col("asker"), "left").select("d", "t", "next")
+    met = met.unionByName(own.where("d is null").withColumn("next", F.lit(None).cast(met.schema["next"].dataType)))
+    n = F.length("t")
     cut = F.floor(n / 4).cast("int")
-    edited = F.when(F.col("next").isNotNull(), F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next.start", F.lit(1), cut)))
-    made = met.select("doc_id", n.cast("bigint").alias("n_chars"), "fingerprint", edited.alias("edited"), F.col("next.print").alias("next_print"))
+    edited = F.when(F.col("next").isNotNull(), F.concat(F.substring("t", F.lit(1), n - cut), F.substring("next.start", F.lit(1), cut)))
+    made = met.select(F.col("d").alias("doc_id"), n.cast("bigint").alias("n_chars"), fingerprint(F.col("t")).alias("fingerprint"), edited.alias("edited"), F.col("next.print").alias("next_print"))
     made = made.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", F.when(F.col("edited").isNotNull(), fingerprint(F.col("edited"))).alias("edited_fingerprint"), "next_print")
     return made.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_print")).alias("near_next"))
