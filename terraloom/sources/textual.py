@@ -144,7 +144,7 @@ def write_csv(features: Iterable[Feature], out: io.BufferedIOBase, crs=None, nam
             names = names or [k for k, _ in p]
             out.write((",".join(map(csv_field, [*names, "geometry"])) + "\n").encode())
             first = False
-        out.write((",".join(csv_field(csv_text(values.get(n))) for n in names) + "," + csv_field(G.to_wkt(g) if g else "") + "\n").encode())
+        out.write((",".join([*(csv_field(csv_text(values.get(n))) for n in names), csv_field(G.to_wkt(g) if g else "")]) + "\n").encode())
     if first:
         out.write((",".join(map(csv_field, [*(names or []), "geometry"])) + "\n").encode())
 
