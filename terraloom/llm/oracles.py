@@ -70,5 +70,25 @@ FROM a
 """
 
 
+OP7 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS.format('text')} AS w FROM documents),
+s AS (
+  SELECT doc_id, len(w) = 0 AS bare,
+         CASE WHEN len(w) >= 5 THEN list_sort(list_distinct([array_to_string(list_slice(w, i, i + 4), ' ') FOR i IN range(1, len(w) - 3)]))
+              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [t] END AS sh FROM d
+),
+k AS (SELECT doc_id, bare, sh, md5(CASE WHEN bare THEN 'text ' ELSE 'set ' END || array_to_string(sh, '|')) AS key FROM s),
+n AS (SELECT key, min(doc_id) AS rep, count(*) AS copies, any_value(sh) AS sh, bool_or(bare) AS bare FROM k GROUP BY key),
+x AS (SELECT key, len(sh) AS size, unnest(sh) AS g FROM n WHERE NOT bare),
+p AS (SELECT a.key AS ka, b.key AS kb, any_value(a.size) + any_value(b.size) AS sizes, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.key <> b.key GROUP BY 1, 2),
+l AS (SELECT ka, kb FROM p WHERE c * 1.8 >= 0.8 * sizes - 1e-9),
+r(k, m) AS (SELECT key, key FROM n UNION SELECT r.k, l.kb FROM r JOIN l ON r.m = l.ka),
+c AS (SELECT r.k AS key, min(n.rep) AS class_id FROM r JOIN n ON n.key = r.m GROUP BY r.k),
+t AS (SELECT ka AS key, count(*) AS n_texts, sum(copies) AS docs FROM l JOIN n ON n.key = l.kb GROUP BY ka)
+SELECT k.doc_id, class_id, CAST(copies - 1 + coalesce(docs, 0) AS BIGINT) AS n_links, CAST(copies AS BIGINT) AS n_copies, CAST(coalesce(n_texts, 0) AS BIGINT) AS n_texts
+FROM k JOIN n USING (key) JOIN c USING (key) LEFT JOIN t USING (key)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op8_url_filter": OP8, "op9_mix_sources": OP9}
+    return {"op1_decontaminate": OP1, "op7_near_duplicates": OP7, "op8_url_filter": OP8, "op9_mix_sources": OP9}
