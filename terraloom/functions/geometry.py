@@ -366,7 +366,28 @@ def json_text(value: Any) -> str:
 
 
 def json_string(s: str) -> str:
-    return json.dumps(s, ensure_ascii=False).replace("\x7f", "\x7f")
+    return json.dumps(s, ensure_ascii=False)
+
+
+def raw_at(text: str, path: list[str]) -> str | None:
+    """The verbatim text of the value at a path of member names; of repeated names the first."""
+    scan, blank = json.JSONDecoder().raw_decode, re.compile(r"\s*")
+    skip = lambda i: blank.match(text, i).end()
+    at = skip(0)
+    for name in path:
+        if text[at : at + 1] != "{":
+            return None
+        at = skip(at + 1)
+        while text[at] != "}":
+            key, at = scan(text, at)
+            at = skip(skip(at) + 1)  # behind the colon
+            if key == name:
+                break
+            at = skip(scan(text, at)[1])
+            at = skip(at + 1) if text[at] == "," else at
+        else:
+            return None
+    return text[at : scan(text, at)[1]]
 
 
 # ---- rings

@@ -15,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 from ..crs.model import WGS84, Crs
 from ..functions.columns import iso_timestamp
+from ..functions.geometry import raw_at
 from ..operators.core import FID, GEOMETRY, bounds, columns_of, geometry_types
 from .features import expand
 from .textual import FormatError
@@ -25,7 +26,11 @@ def footer(path: str) -> tuple[dict | None, list[str]]:
     first = next(p for p in expand(path) if p.endswith(".parquet"))
     schema = pq.read_schema(first)
     raw = (schema.metadata or {}).get(b"geo")
-    return json.loads(raw) if raw else None, schema.names
+    geo = json.loads(raw) if raw else None
+    for name, meta in ((geo or {}).get("columns") or {}).items():
+        if meta.get("crs"):
+            meta["crs"] = raw_at(raw.decode(), ["columns", name, "crs"])  # kept as it was written
+    return geo, schema.names
 
 
 def geometry_column(geo: dict | None, names: list[str]) -> str:
@@ -45,7 +50,7 @@ def crs_of_geo(geo: dict | None, column: str) -> Crs | None:
     meta = geo["columns"].get(column, {})
     if "crs" not in meta:
         return WGS84
-    return Crs.of_definition(json.dumps(meta["crs"])) if meta["crs"] else None
+    return Crs.of_definition(meta["crs"]) if meta["crs"] else None
 
 
 def covering_roots(geo: dict | None, column: str) -> set[str]:

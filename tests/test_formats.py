@@ -72,6 +72,14 @@ def test_geoparquet_footer(spark, sample, tmp_path):
     assert geo["columns"]["geometry"]["bbox"] == [-1, 2, 8.5, 47.4]
 
 
+def test_geoparquet_keeps_definitions(spark, sample, tmp_path):
+    definition = '{"type": "GeographicCRS",  "name":"odd", "id": {"authority": "EPSG", "code": 7844}}'
+    target = str(tmp_path / "o.parquet")
+    convert(spark, sample, target, crs=Crs.of_definition(definition))
+    back = read(spark, target).crs
+    assert back.authority_code() == "EPSG:7844" and json.loads(back.body()) == json.loads(definition)
+
+
 def test_gpkg_layers_upsert_and_index(spark, sample, tmp_path):
     target = str(tmp_path / "o.gpkg")
     write(read(spark, sample), target, rtree=True, envelope=True)

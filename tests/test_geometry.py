@@ -78,3 +78,9 @@ def test_bbox_has_only_real_z():
 def test_hilbert_values():
     known = {(0, 0): 0, (1, 0): 1, (1, 1): 2, (0, 1): 3, (2, 3): 9, (32768, 32768): 2147483648, (12345, 54321): 1555040834, (65535, 65535): 2863311530, (65535, 0): 4294967295, (0, 65535): 1431655765}
     assert {k: hilbert_value(*k) for k in known} == known
+
+
+def test_raw_at():
+    text = '{"a" : {"x": [1, {"b":2}], "b":{"c": 1.50 , "d":"}"} }, "z":1}'
+    assert G.raw_at(text, ["a", "b"]) == '{"c": 1.50 , "d":"}"}'
+    assert G.raw_at(text, ["z"]) == "1" and G.raw_at(text, ["a", "q"]) is None and G.raw_at(text, ["z", "q"]) is None
