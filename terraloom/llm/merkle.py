@@ -32,7 +32,7 @@ ID_BITS = 12
 
 
 def _digest(c: Column) -> Column:
-    return F.hex(F.xxhash64(c))
+    return F.lpad(F.hex(F.xxhash64(c)), 16, "0")
 
 
 def fingerprint(text: Column) -> Column:
