@@ -23,6 +23,7 @@ the seed lists alone decide. Extra columns are ignored; labels, lang, source and
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -53,6 +54,7 @@ WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 TARGET_REACH, TARGET_GAIN = 6, 1.25
 NEGATION_REACH, NEGATION_FACTOR = 2, 0.35
 REPORT_FACTOR, FURTHER = 0.5, 0.5
+THREAT_WEIGHT = 1.0
 
 
 @dataclass
@@ -77,24 +79,21 @@ class Grammar:
 
     def clause(self, words: list[str], weights: dict[str, float], quoted: bool = False) -> float:
         """Weight of the best path through the composed transducers."""
-        total, found, report, negated, target = 0.0, 0, quoted, -99, -99
-        pending: list[tuple[int, float]] = []  # matches that a target behind them may still raise
+        targets = [i for i, w in enumerate(words) if self.classes.get(w) == "T"]
+        total, found, report, negated = 0.0, 0, quoted, -99
         for i, w in enumerate(words):
             kind = self.classes.get(w)
             if kind == "R":
                 report = True
             elif kind == "N":
                 negated = i
-            elif kind == "T":
-                target = i
-                for at, x in pending:
-                    if i - at <= TARGET_REACH:
-                        total += x * (TARGET_GAIN - 1)
-                pending = []
             x = weights.get(w, 0.0)
-            near = i - target <= TARGET_REACH
+            if not x and kind != "H":
+                continue
+            at = bisect.bisect_left(targets, i - TARGET_REACH)
+            near = at < len(targets) and targets[at] <= i + TARGET_REACH
             if kind == "H" and near:
-                x = max(x, 1.5)
+                x = max(x, THREAT_WEIGHT)
             if not x:
                 continue
             if i - negated <= NEGATION_REACH:
@@ -103,11 +102,7 @@ class Grammar:
                 x *= REPORT_FACTOR
             x *= FURTHER ** min(found, 3)
             found += 1
-            if near:
-                x *= TARGET_GAIN
-            else:
-                pending.append((i, x))
-            total += x
+            total += x * (TARGET_GAIN if near else 1)
         return total
 
     def features(self, text: str | None) -> tuple[float, float, float]:

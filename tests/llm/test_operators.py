@@ -259,11 +259,11 @@ def test_mixed_documents_are_repeated(spark, docs):
 
 
 def test_toxicity_holds_out(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"  # 120 toxic rows held out; the smaller tables have too few to tell
     found = toxicity.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels")).join(table(spark, sf, "labels"), "doc_id").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in found)
     p, n = [r.score for r in found if r.held_out and r.toxic], [r.score for r in found if r.held_out and not r.toxic]
-    assert np.mean([(a > b) + (a == b) / 2 for a in p for b in n]) > 0.85
+    assert np.mean([(a > b) + (a == b) / 2 for a in p for b in n]) > 0.95
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in found)
 
 
