@@ -37,7 +37,7 @@ COORDINATES = 64
 BRANCHES, LIMIT, DEPTH = 2, 128, 8
 #: Nodes of a block of the exact check.
 BLOCK = 512
-#: Buckets whose nodes have this mean similarity are not split further.
+#: Buckets whose nodes agree this much with one of them are not split further.
 ALIKE = 0.5
 
 _P = 0x9E3779B97F4A7C15
@@ -286,13 +286,13 @@ def candidate_edges(nodes: DataFrame, threshold: float, recall: float) -> DataFr
         if large.isEmpty():
             break
         large = stage(large.join(nodes, "node"), f"large{depth}")
-        # the mean similarity of a bucket's pairs: how often two of its nodes have the same value in a coordinate
-        probes = F.array(*[F.struct(F.lit(i).alias("i"), F.get("sketch", F.lit(i)).alias("x")) for i in range(COORDINATES - 8, COORDINATES)])
-        same = large.select("path", "n", F.explode(probes).alias("p")).groupBy("path", "n", "p").agg(F.count("*").alias("k"))
-        alike = same.groupBy("path").agg((F.sum(F.col("k").cast("double") * F.col("k")) / F.max(F.col("n").cast("double") * F.col("n") * 8)).alias("sim")).where(F.lit(depth == DEPTH) | (F.col("sim") >= ALIKE)).select("path")
+        # how alike a bucket is: the mean agreement of its nodes with one of them
+        hubs = large.groupBy("path").agg(F.min(F.struct("node", "sketch")).alias("hub"))
+        agreement = F.size(F.filter(F.zip_with("sketch", "hub.sketch", lambda a, b: a == b), lambda same: same)) / COORDINATES
+        alike = large.join(hubs, "path").groupBy("path").agg(F.avg(agreement).alias("sim")).where(F.lit(depth == DEPTH) | (F.col("sim") >= ALIKE)).select("path")
         alike = stage(alike, f"alike{depth}")
-        hubs = large.join(alike, "path", "left_semi")
-        stars.append(hubs.join(hubs.groupBy("path").agg(F.min("node").alias("hub")), "path").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+        whole = large.join(alike, "path", "left_semi")
+        stars.append(whole.join(whole.groupBy("path").agg(F.min("node").alias("hub")), "path").select(F.col("node").alias("a"), F.col("hub").alias("b")))
         members = large.join(alike, "path", "left_anti").select("node", F.explode(_children(F.col("path"), F.lit(0))).alias("path"))
     small = leaves[0]
     for x in leaves[1:]:
