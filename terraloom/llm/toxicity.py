@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows to learn from, at most.
-SAMPLE = 20_000
+SAMPLE = 4_000
 #: Learned entries, at most, and the least number of toxic rows that have one.
 ENTRIES, LEAST = 400, 3
 PREFIX = (3, 4, 5, 6, 7, 8)
@@ -155,26 +155,24 @@ def _entries(text: str) -> set[str]:
 
 def learn(rows: list[tuple[str | None, int]]) -> Grammar:
     """A grammar from labelled texts."""
-    toxic, clean, sets = Counter(), Counter(), []
-    n_toxic = n_clean = 0
+    toxic, clean = Counter(), Counter()
+    hot = [text or "" for text, label in rows if label]
+    n_toxic, n_clean = len(hot), len(rows) - len(hot)
+    for text in hot:
+        toxic.update(_entries(text))
+    toxic = Counter({e: n for e, n in toxic.items() if n >= LEAST})
     for text, label in rows:
-        e = _entries(text or "")
-        if label:
-            n_toxic += 1
-            toxic.update(e)
-            sets.append(e)
-        else:
-            n_clean += 1
-            clean.update(e)
+        if not label:
+            clean.update(toxic.keys() & _entries(text or ""))
     words, beginnings = {w: 2.0 for w in INSULTS.split()}, {}
 
     def odds(e: str) -> float:
         return math.log((toxic[e] + 0.5) / (n_toxic + 1)) - math.log((clean[e] + 0.5) / (n_clean + 1))
 
     # the best entry that explains toxic rows not explained yet, again and again
-    good = {e: odds(e) for e, n in toxic.items() if n >= LEAST and odds(e) >= 2.0 and n >= 4 * clean[e] * (n_toxic + 1) / (n_clean + 1)}
-    left = Counter(e for s in sets for e in s if e in good)
-    open_ = [s & good.keys() for s in sets]
+    good = {e: odds(e) for e, n in toxic.items() if odds(e) >= 2.0 and n >= 4 * clean[e] * (n_toxic + 1) / (n_clean + 1)}
+    open_ = [_entries(text) & good.keys() for text in hot]
+    left = Counter(e for s in open_ for e in s)
     owners: dict[str, list[int]] = {}
     for i, s in enumerate(open_):
         for e in s:
