@@ -1,17 +1,20 @@
 """Secret scans: patterns, and a randomness test battery for what patterns don't know.
 
 Base spans (assign, access, hex; leftmost, not overlapping within a kind) are always kept. Other long tokens (20 and more
-characters of an encoding's alphabet) are tested for randomness. The encoding is inferred (hex, base32, base64), and
-three tests of the hypothesis "characters are drawn uniformly and independently" give p-values:
+characters of an encoding's alphabet, with = only behind them as padding, so that a name before = is no part of its value)
+are tested for randomness. The encoding is inferred (hex, base32, base64), and
+four tests of the hypothesis "characters are drawn uniformly and independently" give p-values:
 
 * chi-squared of the character counts, by the Wilson-Hilferty transform, one-sided (text uses few characters often);
 * runs above and below the alphabet's middle;
-* serial correlation at lag one.
+* serial correlation at lag one;
+* likelihood: the log odds of a model of text (letter frequencies; digits, capitals and small letters stay together)
+  against the hypothesis, summed over neighbouring characters, one-sided. It tells text from 20 characters on, in each encoding.
 
-The least of the three, times three, is the token's p-value. Within bands of encoding and length, the Benjamini-Hochberg step-up
+The least of the four, times four, is the token's p-value. Runs of 20 and more letters and digits within a longer token (behind
+a path or a prefix with _) are tokens of their own, reported if the longer one isn't. Within bands of encoding and length, the Benjamini-Hochberg step-up
 over all tokens of the corpus tells which tokens are *not* random; those left are random as far as tests of their length can
-tell. Length-aware: a token is only judged if it is so long that text would fail the chi-squared test almost surely (the
-test's mean under letter frequencies of text lies ``POWER`` standard deviations beyond the critical value), and if it has
+tell. A token is only judged if it has
 a digit and a letter. P-values are counted in bins (bands times bins: a small table), so that the step-up needs no ranking of the corpus.
 
 Only DataFrame functions are used. Defined results: a null text is empty and has no spans; repeated rows are judged one by one,
@@ -21,10 +24,12 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import let, stage
 
 # The base patterns and what their matches must have.
 ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -32,12 +37,15 @@ ASSIGN_START = r"(?:[Pp][Aa][Ss][Ss][Ww]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][E
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
-RANDOM = r"[A-Za-z0-9+/_=-]{20,}"
+RANDOM = r"[A-Za-z0-9+/_-]{20,}(?:={1,6}(?![A-Za-z0-9+/_=-]))?"
+PIECE = r"[A-Za-z0-9]{20,}"
 
-#: Alphabets by encoding; characters outside of them rule an encoding out. ``spread`` is the chi-squared excess of text for each character.
+#: Alphabets by encoding; characters outside of them rule an encoding out.
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
-SPREAD = {"hex": 1.0, "base32": 1.2, "base64": 3.2}
-POWER, ALPHA, FDR = 3.0, 0.01, 0.05
+#: The model of text: letters by hundredths (1 at least), and how likely the next character is of the same class.
+LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 1.0, 1.0, 4.0, 2.4, 6.7, 7.5, 1.9, 1.0, 6.0, 6.3, 9.1, 2.8, 1.0, 2.4, 1.0, 2.0, 1.0), strict=True))
+STAY = 0.85
+FDR = 0.05
 #: P-values are counted in steps of a tenth of a power of ten, down to 10^-30.
 STEPS, LOWEST = 10, 30
 #: Lower edges of the length bands.
@@ -90,56 +98,90 @@ def encoding(token: Column) -> Column:
     )
 
 
-def _p_value(plain: Column, alphabet: str) -> Column:
-    """Least of three p-values, times three, of a token in this alphabet."""
-    k, n = len(alphabet), F.length(plain).cast("double")
-    counts = [n - F.length(F.translate(plain, c, "")) for c in alphabet]
-    squares = counts[0] * counts[0]
-    for c in counts[1:]:
-        squares = squares + c * c
-    chi = squares * k / n - n
-    d = k - 1
-    chi_p = _normal_tail((F.pow(F.greatest(chi, F.lit(1e-9)) / d, F.lit(1 / 3)) - (1 - 2 / (9 * d))) / (2 / (9 * d)) ** 0.5)
-    ranks = F.transform(F.filter(F.split(plain, "", -1), lambda c: c != ""), lambda c: F.instr(F.lit(alphabet), c).cast("double") - 1)
-    middle = (k - 1) / 2
-    state = F.struct(F.lit(-1.0).alias("last"), F.lit(0.0).alias("runs"), F.lit(0.0).alias("high"), F.lit(0.0).alias("cross"), F.lit(0.0).alias("square"))
+def _class(c: str) -> int:
+    return 0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3
+
+
+def text_model(name: str) -> tuple[list[float], float, float, float, float, float]:
+    """Log odds of each character within its class, of staying in a class, of leaving it; of a pair, under the hypothesis: mean, variance, covariance with the next pair."""
+    alphabet = ALPHABETS[name]
+    k, classes = len(alphabet), sorted({_class(c) for c in alphabet})
+    often = {c: 1.0 if name == "hex" else LETTERS.get(c.lower(), 10.0) for c in alphabet}
+    own = [math.log(k * often[c] / sum(often[x] for x in alphabet if _class(x) == _class(c))) for c in alphabet]
+    stay, leave = math.log(STAY), math.log((1 - STAY) / (len(classes) - 1))
+    pair = [[own[j] + (stay if _class(a) == _class(b) else leave) for j, b in enumerate(alphabet)] for a in alphabet]
+    mean = sum(map(sum, pair)) / k**2
+    variance = sum(x * x for r in pair for x in r) / k**2 - mean**2
+    ahead, behind = [sum(r) / k for r in pair], [sum(r[j] for r in pair) / k for j in range(k)]
+    return own, stay, leave, mean, variance, sum(x * y for x, y in zip(ahead, behind, strict=True)) / k - mean**2
+
+
+def _parameters(enc: Column) -> Column:
+    """Struct of what the tests need of an encoding."""
+    out, at = None, 0
+    for name, alphabet in ALPHABETS.items():
+        _, stay, leave, mean, variance, cov = text_model(name)
+        values = {"alphabet": alphabet, "k": float(len(alphabet)), "at": at, "stay": stay, "leave": leave, "mean": mean, "variance": variance, "cov": cov}
+        one = F.struct(*[F.lit(v).alias(n) for n, v in values.items()])
+        out = F.when(enc == name, one) if out is None else out.when(enc == name, one)
+        at += len(alphabet)
+    return out
+
+
+def _p_value(plain: Column, enc: Column) -> Column:
+    """Least of four p-values, times four, of a token in its encoding."""
+    return let(F.struct(plain.alias("m"), _parameters(enc).alias("p")), lambda t: let(F.transform(F.filter(F.split(t["m"], "", -1), lambda c: c != ""), lambda c: F.instr(t["p"]["alphabet"], c) - 1), lambda ranks: _least(ranks, t["p"])))
+
+
+def _least(ranks: Column, p: Column) -> Column:
+    own = F.array(*[F.lit(x) for name in ALPHABETS for x in text_model(name)[0]])
+    classes = F.array(*[F.lit(_class(c)) for alphabet in ALPHABETS.values() for c in alphabet])
+    k, n = p["k"], F.size(ranks).cast("double")
+    d, middle = k - 1, (k - 1) / 2
+    tail = lambda z: let(z, _normal_tail)
+    # the squares of the counts: the j-th of equal characters adds 2j - 1
+    tally = F.aggregate(
+        F.array_sort(ranks),
+        F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("j"), F.lit(0.0).alias("sum")),
+        lambda s, x: let(F.when(s["last"] == x, s["j"] + 1).otherwise(1.0), lambda j: F.struct(x.alias("last"), j.alias("j"), (s["sum"] + 2 * j - 1).alias("sum"))),
+    )
+    chi = tally["sum"] * k / n - n
+    chi_p = tail((F.pow(F.greatest(chi, F.lit(1e-9)) / d, F.lit(1 / 3)) - (1 - 2 / (9 * d))) / F.sqrt(2 / (9 * d)))
+    state = F.struct(F.lit(-1).alias("last"), *[F.lit(0.0).alias(x) for x in ("runs", "high", "cross", "square", "odds")])
+    first = lambda s: s["last"] < 0
+    class_of = lambda x: F.get(classes, p["at"] + x)
     walked = F.aggregate(
         ranks,
         state,
         lambda s, x: F.struct(
             x.alias("last"),
-            (s["runs"] + F.when((s["last"] < 0) | ((s["last"] > middle) != (x > middle)), 1.0).otherwise(0.0)).alias("runs"),
+            (s["runs"] + F.when(first(s) | ((s["last"] > middle) != (x > middle)), 1.0).otherwise(0.0)).alias("runs"),
             (s["high"] + F.when(x > middle, 1.0).otherwise(0.0)).alias("high"),
-            (s["cross"] + F.when(s["last"] < 0, 0.0).otherwise((s["last"] - middle) * (x - middle))).alias("cross"),
+            (s["cross"] + F.when(first(s), 0.0).otherwise((s["last"] - middle) * (x - middle))).alias("cross"),
             (s["square"] + (x - middle) * (x - middle)).alias("square"),
+            (s["odds"] + F.when(first(s), 0.0).otherwise(F.get(own, p["at"] + x) + F.when(class_of(s["last"]) == class_of(x), p["stay"]).otherwise(p["leave"]))).alias("odds"),
         ),
     )
-    low = n - walked["high"]
-    mean = 2 * walked["high"] * low / n + 1
-    spread = F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9))
-    runs_p = 2 * _normal_tail(F.abs(walked["runs"] - mean) / F.sqrt(spread))
-    serial_p = 2 * _normal_tail(F.abs(walked["cross"] / F.greatest(walked["square"], F.lit(1e-9))) * F.sqrt(n))
-    return F.least(F.lit(1.0), 3 * F.least(chi_p, runs_p, serial_p))
 
+    def judged(w: Column) -> Column:
+        mean = 2 * w["high"] * (n - w["high"]) / n + 1
+        spread = F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9))
+        runs_p = 2 * tail(F.abs(w["runs"] - mean) / F.sqrt(spread))
+        serial_p = 2 * tail(F.abs(w["cross"] / F.greatest(w["square"], F.lit(1e-9))) * F.sqrt(n))
+        odds_p = tail((w["odds"] - (n - 1) * p["mean"]) / F.sqrt((n - 1) * p["variance"] + 2 * (n - 2) * p["cov"]))
+        return F.least(F.lit(1.0), 4 * F.least(chi_p, runs_p, serial_p, odds_p))
 
-def least_length(name: str) -> int:
-    """Shortest token of an encoding for which text fails the chi-squared test almost surely."""
-    d = len(ALPHABETS[name]) - 1
-    n = 20
-    while SPREAD[name] * n < (2 * d) ** 0.5 * 2.33 + POWER * (2 * (d + 2 * SPREAD[name] * n)) ** 0.5:
-        n += 1
-    return n
+    return let(walked, judged)
 
 
 def _tested(tokens: Column) -> Column:
-    """array<struct<s, e, enc, band, bin>> of tokens (array<struct<s, e, m>>) long and mixed enough to be judged."""
+    """array<struct<s, e, enc, band, bin>> of tokens (array<struct<s, e, m>>) mixed enough to be judged."""
     mixed = F.filter(tokens, lambda m: m["m"].rlike("[0-9]") & m["m"].rlike("[A-Za-z]"))
     told = F.transform(mixed, lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), encoding(m["m"]).alias("enc"), F.regexp_replace(F.translate(m["m"], "-_", "+/"), "=+$", "").alias("m")))
-    enough = lambda m: F.coalesce(F.coalesce(*[F.when(m["enc"] == k, F.length(m["m"]) >= least_length(k)) for k in ALPHABETS]), F.lit(False))
-    p = lambda m: F.when(m["enc"] == "hex", _p_value(F.lower(m["m"]), ALPHABETS["hex"])).when(m["enc"] == "base32", _p_value(m["m"], ALPHABETS["base32"])).otherwise(_p_value(m["m"], ALPHABETS["base64"]))
+    plain = lambda m: F.when(m["enc"] == "hex", F.lower(m["m"])).otherwise(m["m"])
     band = lambda n: sum((F.when(n >= b, 1).otherwise(0) for b in BANDS), F.lit(0))
-    bin_ = lambda x: F.least(F.lit(STEPS * LOWEST), F.floor(-F.log10(F.greatest(x, F.lit(10.0**-LOWEST))) * STEPS)).cast("int")
-    return F.transform(F.filter(told, enough), lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), F.concat(m["enc"], F.lit(":"), band(F.length(m["m"])).cast("string")).alias("band"), bin_(p(m)).alias("bin")))
+    bin_ = lambda p: let(p, lambda x: F.least(F.lit(STEPS * LOWEST), F.floor(-F.log10(F.greatest(x, F.lit(10.0**-LOWEST))) * STEPS)).cast("int"))
+    return F.transform(F.filter(told, lambda m: m["enc"].isNotNull()), lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), F.concat(m["enc"], F.lit(":"), band(F.length(m["m"])).cast("string")).alias("band"), bin_(_p_value(plain(m), m["enc"])).alias("bin")))
 
 
 def step_up(counts: list[tuple[str, int, int]], fdr: float = FDR) -> dict[str, int]:
@@ -159,14 +201,20 @@ def step_up(counts: list[tuple[str, int, int]], fdr: float = FDR) -> dict[str, i
 def scan_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    found = docs.select(F.col(doc_id).alias("doc_id"), base_spans(t).alias("base"), F.when(t.rlike(RANDOM), matches(t, RANDOM)).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>")).alias("tokens"))
+    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
+    found = docs.select(F.col(doc_id).alias("doc_id"), base_spans(t).alias("base"), F.when(t.rlike(RANDOM), matches(t, RANDOM)).otherwise(none).alias("whole"), F.when(t.rlike(PIECE), matches(t, PIECE)).otherwise(none).alias("pieces"))
+    inner = F.filter("pieces", lambda m: ~F.exists("whole", lambda w: (w["s"] == m["s"]) & (F.regexp_replace(w["m"], "=+$", "") == m["m"])))
+    found = found.select("doc_id", "base", F.concat("whole", inner).alias("tokens"))
     free = F.filter("tokens", lambda m: ~F.exists("base", lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"])))
     found = stage(found.select("doc_id", "base", _tested(free).alias("tests")), "secrets")
     # bands and bins: at most 30 times 301 rows
     counts = [(r.band, r.bin, r["count"]) for r in found.select(F.explode("tests").alias("t")).groupBy(F.col("t.band").alias("band"), F.col("t.bin").alias("bin")).count().collect()]
     cuts = step_up(counts)
     random = lambda m: F.coalesce(*[F.when(m["band"] == b, m["bin"] < k) for b, k in sorted(cuts.items())], F.lit(False))
-    more = F.transform(F.filter("tests", random), lambda m: F.struct(m["s"].alias("s"), F.lit(3).alias("k"), m["e"].alias("e")))
+    chosen = F.filter("tests", random)
+    # a piece of a token that is reported isn't reported again
+    longest = F.filter(chosen, lambda m: ~F.exists(chosen, lambda w: (w["s"] <= m["s"]) & (m["e"] <= w["e"]) & (w["e"] - w["s"] > m["e"] - m["s"])))
+    more = F.transform(longest, lambda m: F.struct(m["s"].alias("s"), F.lit(3).alias("k"), m["e"].alias("e")))
     names = F.array(*[F.lit(k) for k in KINDS])
     joined = lambda spans: F.array_join(F.transform(spans, lambda m: F.concat_ws(":", F.get(names, m["k"]), m["s"].cast("string"), m["e"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base", lambda m: m["k"] == k)).cast("bigint")

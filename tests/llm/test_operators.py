@@ -109,6 +109,24 @@ def test_random_tokens_are_told_from_words(spark):
     assert secret_scan.step_up([("b", 100, 5), ("b", 0, 95)]) == {"b": 100}
 
 
+def test_random_tokens_behind_names_and_short_ones(spark):
+    import base64
+
+    rng = random.Random(2)
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    makes = [lambda: base64.b64encode(rng.randbytes(28)).decode(), lambda: draw("0123456789ABCDEF", 32), lambda: draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32), lambda: draw("0123456789ABCDEF", 20), lambda: draw("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 22)]
+    values = [m() for m in makes for _ in range(40)]
+    heads = ["AWS_SECRET_ACCESS_KEY=", "sig=", "x ", "/srv/deploy/releases/of/the/current/application/"]
+    texts = [heads[i % 4] + v for i, v in enumerate(values)]
+    plain = ["INVOICENUMBERFORCLIENT25", "getUserAccountInfoV2", "1234567890123456789A", "the/path/to/file/v1x", "sha256WithRSAEncryption", "AWS_SECRET_ACCESS_KEY_NUMBER_2=value", "lib/python3/site/packages"]
+    found = [r.spans for r in rows_of(secret_scan.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")))]
+    hit = [f"random:{len(t) - len(v)}:{len(t)}" in s or (t[0] == "/" and "random" in s) for t, v, s in zip(texts, values, found, strict=False)]
+    for j in range(5):
+        assert sum(hit[40 * j : 40 * j + 40]) >= 34, j
+    # by themselves, as in ordinary text: among many random tokens of a length, the step-up asks for more evidence
+    assert not any("random" in r.spans for r in secret_scan.scan_secrets(spark.createDataFrame(list(enumerate(plain)), "doc_id bigint, text string")).collect())
+
+
 # ---- 3
 
 
