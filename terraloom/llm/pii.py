@@ -21,6 +21,7 @@ Positions are code points, end exclusive. Spans of the method that overlap base
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator
@@ -35,6 +36,8 @@ from .common import stage
 KINDS = ("email", "ip", "card", "phone", "spelled_email", "national_phone", "ssn", "iban", "name")
 BASE = 4
 CONTEXT = 60
+#: Code points within which another span is company.
+NEARBY = 200
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -114,7 +117,7 @@ def further_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def votes(text: str, kind: int, start: int, end: int, others: list[int]) -> str:
-    """A character for each labeler: + for, - against, 0 no vote."""
+    """A character for each labeler: + for, - against, 0 no vote. ``others`` are the distinct starts of the document's spans, ascending."""
     span, before = text[start:end], text[max(0, start - CONTEXT) : start]
     digits = re.sub("[^0-9]", "", span)
     tail = re.split(r"\.| dot |\[dot\]|\(dot\)", span)[-1].strip().lower()
@@ -138,7 +141,8 @@ def votes(text: str, kind: int, start: int, end: int, others: list[int]) -> str:
         words = span.split()[1:]
         form, known = ("+" if len(words) == 2 else "0"), ("+" if words[0].lower() in GIVEN else "0")
     context = "+" if FOR.search(before) else "-" if AGAINST.search(before) else "0"
-    company = "+" if any(0 < abs(o - start) <= 200 for o in others) else "0"
+    i, j = bisect.bisect_left(others, start), bisect.bisect_right(others, start)  # the nearest starts are the one before i and the one at j
+    company = "+" if (i > 0 and start - others[i - 1] <= NEARBY) or (j < len(others) and others[j] - start <= NEARBY) else "0"
     shape = "0" if not digits else "-" if len(set(digits)) <= 2 or digits in "01234567890123456789" else "0"
     return form + known + context + company + shape
 
@@ -162,16 +166,13 @@ def scan(text: str | None) -> dict:
     further = [c for c in further_spans(text) if not _overlaps(taken, c[1], c[2])]
     if not base and not further:
         return {"base": [], "more": [], "votes": []}
-    others = [s for _, s, _ in base] + [s for _, s, _ in further]
-    few = others if len(others) <= 64 else others[:: len(others) // 64]  # company is a matter of whether, not of how many
-    more = [{"k": k, "s": s, "e": e, "v": votes(text, k, s, e, few), "n": size_class(k, s, e)} for k, s, e in sorted(further)]
-    patterns = [f"{k}|{votes(text, k, s, e, few)}|{size_class(k, s, e)}" for k, s, e in base] + [f"{m['k']}|{m['v']}|{m['n']}" for m in more]
+    others = sorted({s for _, s, _ in base} | {s for _, s, _ in further})
+    more = [{"k": k, "s": s, "e": e, "v": votes(text, k, s, e, others), "n": size_class(k, s, e)} for k, s, e in sorted(further)]
+    patterns = [f"{k}|{votes(text, k, s, e, others)}|{size_class(k, s, e)}" for k, s, e in base] + [f"{m['k']}|{m['v']}|{m['n']}" for m in more]
     return {"base": [{"k": k, "s": s, "e": e} for k, s, e in base], "more": more, "votes": patterns}
 
 
 def _overlaps(taken: list[tuple[int, int]], start: int, end: int) -> bool:
-    import bisect
-
     i = bisect.bisect_left(taken, (end,))
     return any(e > start for _, e in taken[max(0, i - 4) : i])
 

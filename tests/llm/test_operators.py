@@ -89,6 +89,16 @@ def test_weak_supervision_accepts_what_labelers_back(spark):
     assert soft["5|++++0|1"] > 0.9 > 0.1 > soft["5|-0-0-|1"] and np.allclose(like.sum(axis=2), 1)
 
 
+def test_company_is_exact_in_long_documents():
+    line = "please call our phone line at (212) 555-0142 or mail x@mail.example.com today" + "." * 400 + "\n"
+    alone, many = pii.scan(line), pii.scan(line * 3000)
+    assert len(many["more"]) == 3000 and {m["v"] for m in many["more"]} == {m["v"] for m in alone["more"]} == {"+0++0"}
+    assert set(many["votes"]) == set(alone["votes"])
+    found = pii.scan("\n".join(f"x{i}@a.example.com" + "." * (i % 7 * 50) for i in range(500)))
+    starts = [m["s"] for m in found["base"]]
+    assert [v.split("|")[1][3] for v in found["votes"]] == ["+" if any(0 < abs(o - s) <= 200 for o in starts) else "0" for s in starts]
+
+
 def test_secrets_against_brute_force(spark, docs, texts):
     more = {10**6: "token=token: abcdefg Secret : 'a.b/c=d_e' API_KEY=\"short\" apikey==abcdef", 10**6 + 1: "AKIA" + "A" * 16 + " AKIASHORT " + "0123456789abcdef" * 2, 10**6 + 2: "é\n" * 50 + "password=hunter22"}
     both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(more.items()), "doc_id bigint, text string"))
