@@ -12,9 +12,10 @@ classes are composed into one automaton that walks the clause and adds weights a
 
 The score of a text is a logistic function of its clauses' scores: the best one, their sum, and their share.
 
-The insult lexicon and its weights are learned from labelled rows: words and word beginnings that toxic rows have
-and clean rows don't (log odds, each kept only if it explains toxic rows that better ones don't), besides the fixed seed lists. The logistic function is fitted to the same rows. These are
-a bounded sample: at most ``SAMPLE`` labelled rows, chosen by a hash of doc_id; held-out rows are never among them.
+The insult lexicon and its weights are learned from all labelled rows that aren't held out: words and word beginnings that toxic
+rows have and clean rows don't (log odds, each kept only if it explains toxic rows that better ones don't), besides the fixed seed
+lists. The logistic function is fitted to the same rows. Tasks count entries, rows explained and equal features; entries that
+tell, their counts and the sums of Newton's steps reach the driver, texts don't.
 
 Defined results: null and empty texts have no clauses and get the score of a text without matches; repeated rows are
 scored one by one; labels that contradict each other count as both; labels with nulls are not used; without any label
@@ -35,8 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows to learn from, at most.
-SAMPLE = 4_000
+from .common import stage
+
+#: Counts that a task holds before it hands them on.
+HELD = 200_000
 #: Learned entries, at most, and the least number of toxic rows that have one.
 ENTRIES, LEAST = 400, 3
 PREFIX = (3, 4, 5, 6, 7, 8)
@@ -153,67 +156,137 @@ def _entries(text: str) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in PREFIX if n < len(w)}
 
 
-def learn(rows: list[tuple[str | None, int]]) -> Grammar:
-    """A grammar from labelled texts."""
-    toxic, clean = Counter(), Counter()
-    hot = [text or "" for text, label in rows if label]
-    n_toxic, n_clean = len(hot), len(rows) - len(hot)
-    for text in hot:
-        toxic.update(_entries(text))
-    toxic = Counter({e: n for e, n in toxic.items() if n >= LEAST})
-    for text, label in rows:
-        if not label:
-            clean.update(toxic.keys() & _entries(text or ""))
-    words, beginnings = {w: 2.0 for w in INSULTS.split()}, {}
+def _counts(update) -> object:
+    """A function for ``mapInArrow`` on (t, y): ``update(counter, text, label)`` counts keys (tuples of column values), which are handed on with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], types: tuple[pa.DataType, ...]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def out():
+            columns = list(zip(*((*k, n) for k, n in held.items()), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*types, pa.int64()), strict=True)], names=[*names, "n"])
+
+        for b in batches:
+            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                update(held, text or "", label)
+                if len(held) >= HELD:
+                    yield out()
+                    held.clear()
+        if held:
+            yield out()
+
+    return run
+
+
+def _telling(rows: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[str, int, float]]:
+    """entry, toxic rows, log odds of all entries that toxic rows have and clean rows don't, by name."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple] = {}
+
+        def update(held: Counter, text: str, label: int) -> None:
+            entries: set = set()
+            for w in set(WORD.findall(text.lower())):
+                own = known.get(w)
+                if own is None:
+                    if len(known) >= HELD:
+                        known.clear()
+                    own = known[w] = (w, *(w[:n] + "*" for n in PREFIX if n < len(w)))
+                entries.update(own)
+            held.update([(e, int(label != 0)) for e in entries])
+
+        yield from _counts(update)(batches, ("e", "y"), (pa.string(), pa.int32()))
+
+    of = lambda y: F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0))
+    counted = rows.mapInArrow(count, "e string, y int, n bigint").groupBy("e").agg(of(1).alias("toxic"), of(0).alias("clean"))
+    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
+    told = counted.where(F.col("toxic") >= LEAST).withColumn("odds", odds).where((F.col("odds") >= 2.0) & (F.col("toxic") >= 4 * F.col("clean") * (n_toxic + 1) / (n_clean + 1)))
+    return sorted((r.e, r.toxic, r.odds) for r in told.select("e", "toxic", "odds").collect())  # a row for each telling entry
+
 
-    def odds(e: str) -> float:
-        return math.log((toxic[e] + 0.5) / (n_toxic + 1)) - math.log((clean[e] + 0.5) / (n_clean + 1))
-
-    # the best entry that explains toxic rows not explained yet, again and again
-    good = {e: odds(e) for e, n in toxic.items() if odds(e) >= 2.0 and n >= 4 * clean[e] * (n_toxic + 1) / (n_clean + 1)}
-    open_ = [_entries(text) & good.keys() for text in hot]
-    left = Counter(e for s in open_ for e in s)
-    owners: dict[str, list[int]] = {}
-    for i, s in enumerate(open_):
-        for e in s:
-            owners.setdefault(e, []).append(i)
-    done = [False] * len(open_)
-    while left and len(words) + len(beginnings) < ENTRIES:
-        e = max(left, key=lambda x: (left[x] * good[x], -len(x), x))
-        if left[e] < LEAST:
+def _explaining(rows: DataFrame, told: list[tuple[str, int, float]], most: int) -> list[int]:
+    """Places in ``told`` of the entries, at most ``most``: the best entry that explains toxic rows not explained yet, again and again."""
+    shared = rows.sparkSession.sparkContext.broadcast({e: i for i, (e, _, _) in enumerate(told)})
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = shared.value
+        for b in batches:
+            own = [sorted(rank[e] for e in _entries(t or "") if e in rank) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32()))], names=["own"])
+
+    open_ = stage(rows.where("y <> 0").mapInArrow(places, "own array<int>"), "explained")
+    kept: list[int] = []
+    while len(kept) < most:
+        left = open_.where(~F.arrays_overlap("own", F.lit(kept))) if kept else open_
+        counts = left.select(F.explode("own").alias("i")).groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).collect()  # telling entries at most
+        if not counts:
             break
-        (beginnings if e[-1] == "*" else words)[e.rstrip("*")] = good[e]
-        for i in owners[e]:
-            if not done[i]:
-                done[i] = True
-                left.subtract(open_[i])
-        left = +left
+        best = max(counts, key=lambda r: (r.n * told[r.i][2], -len(told[r.i][0]), told[r.i][0]))
+        kept.append(best.i)
+    return kept
+
+
+def learn(rows: DataFrame) -> Grammar:
+    """A grammar from labelled texts (t, y)."""
+    sizes = rows.agg(F.count_if(F.col("y") != 0).alias("toxic"), F.count_if(F.col("y") == 0).alias("clean")).first()
+    words, beginnings = {w: 2.0 for w in INSULTS.split()}, {}
+    told = _telling(rows, sizes.toxic, sizes.clean) if sizes.toxic else []
+    for i in _explaining(rows, told, ENTRIES - len(words)) if told else []:
+        e, _, odds = told[i]
+        (beginnings if e[-1] == "*" else words)[e.rstrip("*")] = odds
     # words that are as telling by themselves, though others explain their rows
-    for e, x in sorted(good.items(), key=lambda p: (-p[1] * toxic[p[0]], p[0])):
+    for e, n, odds in sorted(told, key=lambda x: (-x[2] * x[1], x[0])):
         if len(words) + len(beginnings) >= ENTRIES:
             break
-        if e[-1] != "*" and toxic[e] >= 2 * LEAST and x >= 3.0:
-            words.setdefault(e, x)
+        if e[-1] != "*" and n >= 2 * LEAST and odds >= 3.0:
+            words.setdefault(e, odds)
     grammar = Grammar(words, beginnings)
-    if n_toxic and n_clean:
-        x = np.array([grammar.features(t) for t, _ in rows])
-        grammar.coefficients = logistic(x, np.array([y for _, y in rows], dtype=float))
+    if sizes.toxic and sizes.clean:
+        grammar.coefficients = _fitted(rows, grammar)
     return grammar
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> tuple[float, ...]:
-    """Newton's method for a ridge logistic regression with non-negative slopes; intercept first."""
-    x = np.hstack([np.ones((len(x), 1)), x])
-    b = np.zeros(x.shape[1])
-    penalty = np.diag([1e-4] + [ridge] * (x.shape[1] - 1))
+def _fitted(rows: DataFrame, grammar: Grammar) -> tuple[float, ...]:
+    """The logistic function's coefficients; rows with equal features are counted, Newton's sums are taken where the rows are."""
+    shared = rows.sparkSession.sparkContext.broadcast(grammar)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = shared.value
+
+        def update(held: Counter, text: str, label: int) -> None:
+            held[(*g.features(text), float(label != 0))] += 1
+
+        yield from _counts(update)(batches, ("x1", "x2", "x3", "y"), (pa.float64(),) * 4)
+
+    x = stage(rows.mapInArrow(count, "x1 double, x2 double, x3 double, y double, n bigint"), "features")
+    names = ["x0", "x1", "x2", "x3"]
+
+    def sums(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        z = sum((F.lit(float(k)) * F.col(c) for k, c in zip(b[1:], names[1:], strict=True)), F.lit(float(b[0])))
+        own = x.select(F.lit(1.0).alias("x0"), *names[1:], "y", "n", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("p"))
+        own = own.select(*names, (F.col("n") * (F.col("p") * (1 - F.col("p")) + 1e-6)).alias("w"), (F.col("n") * (F.col("y") - F.col("p"))).alias("d"))
+        pairs = [(i, j) for i in range(4) for j in range(i, 4)]
+        r = own.agg(*[F.sum(F.col("w") * F.col(names[i]) * F.col(names[j])) for i, j in pairs], *[F.sum(F.col("d") * F.col(c)) for c in names]).first()
+        square = np.zeros((4, 4))
+        for (i, j), v in zip(pairs, r, strict=False):
+            square[i, j] = square[j, i] = v
+        return square, np.array(r[len(pairs) :])
+
+    return logistic(sums, 4)
+
+
+def logistic(sums, n: int, ridge: float = 0.05, rounds: int = 50) -> tuple[float, ...]:
+    """Newton's method for a ridge logistic regression with non-negative slopes; intercept first. ``sums(b)`` gives X'WX and X'(y - p)."""
+    b = np.zeros(n)
+    penalty = np.diag([1e-4] + [ridge] * (n - 1))
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-6)[:, None]) + penalty, x.T @ (y - p) - penalty @ b)
-        b = b + step
+        square, slope = sums(b)
+        step = np.linalg.solve(square + penalty, slope - penalty @ b)
+        before, b = b, b + step
         b[1:] = np.maximum(b[1:], 0)
-        if np.abs(step).max() < 1e-6:
+        if np.abs(b - before).max() < 1e-6:
             break
-    return tuple(float(v) for v in b)
+    return tuple(round(float(v), 9) for v in b)  # whatever order sums are taken in
 
 
 def held_out(doc_id):
@@ -221,13 +294,11 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Grammar:
-    """Learn a grammar from at most ``sample`` labelled rows that aren't held out."""
-    known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("y").isNotNull())
-    known = known.groupBy("doc_id", "y").count().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample).select("doc_id", "y")  # bounded, so it can be broadcast
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Grammar:
+    """Learn a grammar from all labelled rows that aren't held out."""
+    known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("y").isNotNull()).distinct()
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t"))
-    rows = texts.join(F.broadcast(known), "doc_id").select("doc_id", "t", "y")
-    return learn([(r.t, r.y) for r in sorted(rows.toLocalIterator(), key=lambda r: (r.doc_id, r.y, r.t or ""))])
+    return learn(stage(texts.join(known, "doc_id").select("t", "y"), "labelled"))
 
 
 def scorer(grammar: Grammar, spark):

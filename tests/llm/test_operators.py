@@ -295,6 +295,17 @@ def test_toxicity_holds_out(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in found)
 
 
+def test_toxicity_learns_from_all_labels(spark):
+    # three rows of 20,000 have the rare insult: a sample misses it
+    texts = [(i, "such an idiot of this town" if i % 10 == 0 else "such an hour of this town") for i in range(20_000)] + [(20_000 + i, "such an blorgface of this town") for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    labels = docs.selectExpr("doc_id", "int(text not like '%hour%') as toxic")
+    learned = [r.doc_id for r in docs.where("doc_id >= 20000").where(~toxicity.held_out(toxicity.F.col("doc_id"))).orderBy("doc_id").limit(3).collect()]
+    some = labels.where(toxicity.F.col("doc_id").isin(learned) | (toxicity.F.col("doc_id") < 20_000))
+    g = toxicity.fit(docs, some)
+    assert g.weight("blorgface") > 2 and g.score("what a blorgface") > g.score("what a town")
+
+
 def test_grammar():
     g = toxicity.Grammar({"idiot": 2.0}, {"scum": 2.0})
     plain, aimed = g.features("what an idiot")[0], g.features("you idiot")[0]
