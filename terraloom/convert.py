@@ -105,7 +105,7 @@ def write_layers(layers: dict[str, FeatureFrame], path: str, *, rtree: bool = Fa
     if os.path.exists(path):
         for name, column, n, crs in binary.gpkg_layers(path):
             if name not in layers:
-                kept.append((name, [x for _, x in binary.gpkg_rows(path, name, column, 0, n)], None, crs))
+                kept.append((name, [x for _, x in binary.gpkg_rows(path, name, column, binary.gpkg_before(path, name), n)], None, crs))
     binary.write_gpkg([*kept, *((n, x.features(), kinds(x), x.crs) for n, x in layers.items())], path, rtree, envelope)
     return []
 

@@ -534,7 +534,7 @@ def sibling(path: str, extension: str) -> str | None:
 
 
 def gpkg_layers(path: str) -> list[tuple[str, str, int, Crs | None]]:
-    """(table, geometry column, rows, CRS) of each feature layer."""
+    """(table, geometry column, greatest rowid, CRS) of each feature layer."""
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
         tables = {r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type = 'table'")}
         geometry = {t: (c, s) for t, c, s in db.execute("SELECT table_name, column_name, srs_id FROM gpkg_geometry_columns")}
@@ -556,6 +556,12 @@ def _quoted(name: str) -> str:
     return name.replace('"', '""')
 
 
+def gpkg_before(path: str, table: str) -> int:
+    """The number before a layer's first rowid; rowids can be 0 and negative."""
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+        return db.execute(f'SELECT coalesce(min(rowid), 1) - 1 FROM "{_quoted(table)}"').fetchone()[0]
+
+
 def gpkg_rows(path: str, table: str, column: str, low: int, high: int) -> Iterator[tuple[int, Feature]]:
     """rowid and feature of rows with low < rowid <= high."""
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:

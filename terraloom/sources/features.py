@@ -108,7 +108,8 @@ class FeatureReader(DataSourceReader):
         for p in paths:
             for name, column, n, _ in binary.gpkg_layers(p):
                 if self.layer in (None, name):
-                    out += [Part(p, len(out), name, column, low, min(n, low + ROWS)) for low in range(0, max(n, 1), ROWS)]
+                    before = binary.gpkg_before(p, name)
+                    out += [Part(p, len(out), name, column, low, min(n, low + ROWS)) for low in range(before, max(n, before + 1), ROWS)]
         if not out:
             raise textual.FormatError(f"{self.path} has no layer {self.layer or 'of features'}")
         return out

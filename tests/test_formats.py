@@ -80,6 +80,26 @@ def test_geoparquet_keeps_definitions(spark, sample, tmp_path):
     assert back.authority_code() == "EPSG:7844" and json.loads(back.body()) == json.loads(definition)
 
 
+def test_gpkg_rowids_of_zero_and_less(spark, sample, tmp_path):
+    from terraloom.formats import GEOPACKAGE
+    from terraloom.sources import binary, features
+
+    target = str(tmp_path / "z.gpkg")
+    convert(spark, sample, target)
+    name = binary.gpkg_layers(target)[0][0]
+    before = features.read_raw(spark, target, GEOPACKAGE).count()
+    with sqlite3.connect(target) as db:
+        key = next(r[1] for r in db.execute(f'PRAGMA table_info("{name}")') if r[5])
+        for trigger in db.execute("SELECT name FROM sqlite_master WHERE type = 'trigger'").fetchall():
+            db.execute(f'DROP TRIGGER "{trigger[0]}"')
+        db.execute(f'UPDATE "{name}" SET "{key}" = "{key}" - 1000')
+        db.execute(f'UPDATE "{name}" SET "{key}" = 0 WHERE "{key}" = (SELECT max("{key}") FROM "{name}")')
+    found = [r._fid for r in features.read_raw(spark, target, GEOPACKAGE).collect()]
+    assert len(found) == before and max(found) == 0 and min(found) < 0
+    convert(spark, sample, target, layer="second")
+    assert features.read_raw(spark, target, GEOPACKAGE, name).count() == before
+
+
 def test_gpkg_layers_upsert_and_index(spark, sample, tmp_path):
     target = str(tmp_path / "o.gpkg")
     write(read(spark, sample), target, rtree=True, envelope=True)
