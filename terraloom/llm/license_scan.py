@@ -1,8 +1,8 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies.
 
 Texts and templates become shingles of ``SHINGLE`` words. A text is covered by windows of ``2 * stride`` shingles that start every
-``stride``, so that any passage of at most ``stride`` shingles lies whole in one; templates longer than a stride are
-scanned with a stride of their own length class. A band is one min-wise hash; a window that holds a template of m shingles
+``stride``, so that any passage of at most ``stride`` shingles lies whole in one. Templates are scanned by length class, with a
+stride of the class's longest template divided by ``CONTAINMENT``: copies with words inserted are longer than their template. A band is one min-wise hash; a window that holds a template of m shingles
 has a Jaccard of at least m / (2 * stride + m), and the number of bands is set so that such a pair shares a band with the probability ``FOUND``.
 
 A band's value can only be shared if the window holds the very shingle that gives the template its least hash. So
@@ -87,7 +87,7 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, *, doc_id
             less = {8: 0, 1 << 30: 1024}.get(stride, stride // 2)
             group = [(name, t) for name, t in rows if less < len(t) <= stride]
             if group:
-                matched = F.concat(matched, _matches(F.col("h"), group, min(stride, max(len(t) for _, t in group)), containment, found, spark))
+                matched = F.concat(matched, _matches(F.col("h"), group, math.ceil(max(len(t) for _, t in group) / containment), containment, found, spark))
     all_found = hashed.select("doc_id", matched.alias("all"))
     names = F.array_sort(F.array_distinct(F.transform("all", lambda m: m["license"])))
     counted = all_found.select("doc_id", F.transform(names, lambda n: F.struct(n.alias("license"), F.array_max(F.transform(F.filter("all", lambda m: m["license"] == n), lambda m: m["containment"])).alias("containment"))).alias("m"))

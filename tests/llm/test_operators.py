@@ -152,6 +152,15 @@ def test_licenses(spark, docs, texts):
     assert 1 - (1 - 0.3) ** license_scan.bands_needed(0.3) >= license_scan.FOUND
 
 
+def test_licenses_with_words_inserted_at_any_place(spark):
+    mit = license_scan.TEMPLATES["MIT"].split()
+    # words inserted at four places break eight shingles of some sixty, and make the copy longer than the template
+    copy = [x for i, w in enumerate(mit) for x in ([w, "zq1", "zq2", "zq3"] if i in (1, 14, 28, len(mit) - 4) else [w])]
+    cases = [(n, " ".join([f"w{i}" for i in range(n)] + copy + [f"x{i}" for i in range(200)])) for n in range(90)]
+    found = rows_of(license_scan.scan_licenses(spark.createDataFrame(cases, "doc_id bigint, text string")))
+    assert len({r.licenses for r in found}) == 1 and found[0].licenses.startswith("MIT:0.8")
+
+
 # ---- 5
 
 
