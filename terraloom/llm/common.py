@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -22,23 +23,77 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the one in ``spark.checkpoint.dir``, or, where none is set (tests), a temporary one."""
+    """The folder that driver and executors share: the one in ``spark.checkpoint.dir``. Where none is set, a local session (tests) gets a temporary one; a cluster is an error."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         set_dir = known.get() if known.isDefined() else None
     if not set_dir:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir isn't set: on a cluster it must name a folder that the driver and all executors share")
         set_dir = "file://" + tempfile.mkdtemp(prefix="terraloom-")
         spark.sparkContext.setCheckpointDir(set_dir)
     return set_dir.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), own
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's folder of staged tables, in the shared folder. It goes when the driver ends."""
+    path = f"{shared_dir(spark)}/terraloom-{spark.sparkContext.applicationId}"
+    fs, own = _file_system(spark, path)
+    if not fs.exists(own):
+        fs.mkdirs(own)
+        fs.deleteOnExit(own)
+    return path
+
+
 def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, and is computed once."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/terraloom/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.staged_at = path
+    return staged
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Remove what ``stage`` wrote for these frames, once nothing reads them any more."""
+    for df in frames:
+        fs, own = _file_system(df.sparkSession, df.staged_at)
+        fs.delete(own, True)
+
+
+#: Keys with more than one in so many of all rows are joined by broadcast; there are at most as many of them.
+HOT_KEYS = 20_000
+#: Keys of so many rows at most are broadcast to filter rows by them.
+FILTER_KEYS = 1_000_000
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, n: str = "n", most: int = HOT_KEYS) -> DataFrame:
+    """Inner join of ``rows`` with ``facts``: a row for each key, in which ``n`` is the number of the key's rows.
+
+    Keys with more than a share of 1 / ``most`` of the rows are at most ``most`` by count, so their facts are broadcast, and their
+    rows stay where they are. All others meet by a shuffle, in which no key has more than that share. Both inputs are read twice.
+    """
+    total = facts.agg(F.sum(n)).first()[0] or 0
+    cut = total // most
+    hot = facts.where(F.col(n) > cut)
+    joined = rows.join(F.broadcast(hot), key)
+    if not cut:  # fewer rows than hot keys are allowed
+        return joined
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return joined.unionByName(rest.join(facts.where(F.col(n) <= cut), key))
+
+
+def filter_by(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Semi or anti join of rows with distinct keys, which are broadcast if there are at most ``FILTER_KEYS``."""
+    few = keys.count() <= FILTER_KEYS
+    return rows.join(F.broadcast(keys) if few else keys, on, how)
 
 
 def ascii_lower(c: Column) -> Column:

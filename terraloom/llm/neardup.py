@@ -3,18 +3,27 @@
 1. *Sets.* A text becomes the set of its five-word shingles (one shingle of all words if there are fewer), as 64-bit
    hashes; a 128-bit digest of the sorted set names it. Texts with equal sets are copies: one node stands for them.
 2. *Embedding.* A node keeps ``COORDINATES`` min-wise hashes: two sets agree in a coordinate with the probability of their Jaccard.
-3. *Chosen paths.* A run splits all nodes on the values of sampled coordinates ("shared tokens"); buckets of more than ``LIMIT``
-   nodes are split again on coordinates sampled by their path, until they are small, or so alike that splitting can't part
-   them, or ``DEPTH`` is reached. Runs repeat until a pair at the threshold is found with the target recall.
-4. *Small buckets* are compared pair by pair on the embedding, and give the edges of a spanning forest, not pairs. Large buckets of alike nodes are linked to one of theirs.
-5. *Exact check.* The connected groups get their whole shingle sets and are compared exactly, all against all, in
-   blocks of at most ``BLOCK`` nodes; each task returns counts of links by node and a spanning forest of the true links.
+3. *Chosen paths.* A run splits all nodes on the value of a sampled coordinate (a "shared token"). Buckets of more than
+   ``LIMIT`` nodes are split again, on one coordinate or two, 1 / threshold on average: so a pair at the threshold
+   keeps one common bucket on average, and a node has never more rows than before unless it shares more than the
+   threshold with most of its bucket. Such dense buckets are told by a sample of ``SAMPLE`` nodes and its medoid: nodes that
+   agree with the medoid in ``ALIKE`` of the coordinates leave the splitting, linked to it; so that none of their pairs
+   is lost, nodes that agree less, by what the two of a pair can differ, are linked too, and stay in it. Runs repeat until a pair
+   at the threshold is found with the target recall at depth ``DEPTH``; what is still large there is linked whole.
+4. *Small buckets* are compared pair by pair on the embedding, and give the edges of a spanning forest, not pairs.
+5. *Exact check.* The connected groups get their whole shingle sets, packed into rows of at most ``BLOCK`` nodes or
+   ``BLOCK_BYTES``. A task compares two blocks (or one with itself) exactly and returns counts of links by node and a spanning
+   forest of the true links.
 6. Connected components of the true links are the classes.
 
-No step emits the pairs of a group. Copies are never expanded: their number is a weight.
+No step emits the pairs of a group. Copies are never expanded: their number is a weight. The exact check compares all
+pairs of a connected group of different texts, so its time, and the number of its tasks (and of packed blocks sent),
+grow with the square of such a group's size divided by ``BLOCK``; no other step's rows do.
+
+Hot keys (buckets, hubs, nodes with very many copies) meet what is known of them by ``join_hot``, not in one task.
 
 Defined results: null is an empty text; texts without words are alike only if they are equal, and have no other
-links; repeated rows are copies of each other; a null doc_id is never a class id unless the class has no other; an empty table gives an empty result.
+links; very long texts are whole sets; repeated rows are copies of each other; of tied documents the least doc_id names the class; a null doc_id is never a class id unless the class has no other; an empty table gives an empty result.
 Extra columns are ignored by ``near_duplicates`` and kept by ``drop_near_duplicates``.
 """
 
@@ -25,20 +34,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, sliced, stage
+from .common import WORD_BYTES, filter_by, join_hot, sliced, stage, unstage
 
 SHINGLE, THRESHOLD = 5, 0.8
-RECALL = 0.99999
+#: Least probability that a pair at the threshold shares a bucket, wherever its buckets end.
+RECALL = 0.999
 COORDINATES = 64
-#: Coordinates sampled at each node of a path, largest bucket that is brute-forced, levels of splitting.
-BRANCHES, LIMIT, DEPTH = 2, 128, 8
-#: Nodes of a block of the exact check.
-BLOCK = 512
-#: Buckets whose nodes agree this much with one of them are not split further.
-ALIKE = 0.5
+#: Largest bucket that is brute-forced, levels of splitting.
+LIMIT, DEPTH = 128, 12
+#: Nodes that tell whether a bucket is dense; agreement with their medoid of nodes that leave; share of such nodes in a dense bucket.
+SAMPLE, ALIKE, DENSE = 24, 0.6, 0.25
+#: Nodes and bytes of a block of the exact check, nodes compared at once.
+BLOCK, BLOCK_BYTES, TILE = 2048, 4 << 20, 512
+#: Rounds after which connected components must have settled (they take about the logarithm of a component's size).
+ROUNDS = 100
 
 _P = 0x9E3779B97F4A7C15
 _P_INVERSE = pow(_P, -1, 1 << 64)
@@ -46,12 +59,18 @@ _MULTIPLIERS = np.array([int.from_bytes(hashlib.blake2b(f"coordinate {k}".encode
 _powers: list[np.ndarray] = []
 
 
-def runs_needed(threshold: float, recall: float, branches: int = BRANCHES, depth: int = DEPTH) -> int:
-    """Runs after which a pair at the threshold has shared a bucket with this probability."""
-    found = 1.0
-    for _ in range(depth):
-        found = 1 - (1 - threshold * found) ** branches
-    n, missed = 1, 1 - found
+def found_at(threshold: float, depth: int) -> float:
+    """Probability that a pair at the threshold shares a bucket of one run at this depth, with 1 / threshold children on average."""
+    second, found = 1 / threshold - 1, 1.0
+    for _ in range(depth - 1):
+        x = threshold * found
+        found = x + second * x * (1 - x)
+    return threshold * found
+
+
+def runs_needed(threshold: float, recall: float, depth: int = DEPTH) -> int:
+    """Runs after which a pair at the threshold has shared a bucket at this depth with this probability."""
+    n, missed = 1, 1 - found_at(threshold, depth)
     while missed**n > 1 - recall:
         n += 1
     return n
@@ -109,12 +128,12 @@ def shingle_sets(texts: list[bytes | None], size: int = SHINGLE) -> list[np.ndar
     return out
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
+def sketch(s: np.ndarray) -> bytes:
     """Min-wise hashes of a set, 32 bits each."""
     least = np.full(COORDINATES, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
     for i in range(0, len(s), 2048):
         least = np.minimum(least, (s[i : i + 2048, None] * _MULTIPLIERS).min(axis=0))
-    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return (least >> np.uint64(32)).astype("<u4").tobytes()
 
 
 def node_of(s: np.ndarray, text: bytes | None) -> bytes:
@@ -130,8 +149,9 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sets = shingle_sets(texts)
                 n = len(sets)
                 nodes = pa.array([node_of(s, t) for s, t in zip(sets, texts, strict=True)], pa.binary())
-                marks = pa.array([sketch(s) if len(s) else None for s in sets], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), b.column(1).slice(at, n), nodes, marks], names=["doc_id", "h", "node", "sketch"])
+                marks = pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())
+                sizes = pa.array([len(s) for s in sets], pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), b.column(1).slice(at, n), nodes, marks, sizes], names=["doc_id", "h", "node", "sketch", "size"])
                 at += n
 
 
@@ -169,13 +189,20 @@ def _labels(near: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a == b).mean(axis=-1)
+
+
+def _marks(values: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(values), dtype="<u4").reshape(-1, COORDINATES)
+
+
 def _compare_sketches(agreement: float):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for _, (nodes, marks) in _grouped(batches, 1):
-            m = np.array(marks, dtype=np.int32)
-            near = (m[:, None, :] == m[None, :, :]).mean(axis=2) >= agreement
-            label = _labels(near)
+            m = _marks(marks)
+            label = _labels(_agreement(m[:, None, :], m[None, :, :]) >= agreement)
             for i in np.flatnonzero(label != np.arange(len(label))).tolist():
                 a.append(nodes[i])
                 b.append(nodes[label[i]])
@@ -187,54 +214,129 @@ def _compare_sketches(agreement: float):
     return compare
 
 
-def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the pairwise intersections, by blocks of the shared hashes."""
-    n = len(sets)
-    total = np.diag([len(s) for s in sets]).astype(np.float64)
-    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    shared = counts > 1
-    column = np.cumsum(shared) - 1
-    keep = shared[inverse]
-    owner, where = owner[keep], column[inverse[keep]]
-    order = np.argsort(where, kind="stable")
-    owner, where = owner[order], where[order]
+def _medoids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each bucket's sample, the node that agrees most with the others, and whether the bucket is dense around it."""
+    for (path,), (nodes, marks) in _grouped(batches, 1):
+        m = _marks(marks)
+        near = _agreement(m[:, None, :], m[None, :, :])
+        best = int(near.sum(axis=1).argmax())
+        dense = bool((near[best] >= ALIKE).mean() >= DENSE)
+        yield pa.RecordBatch.from_arrays([pa.array([path], pa.int64()), pa.array([nodes[best] if dense else None], pa.binary()), pa.array([marks[best] if dense else None], pa.binary())], names=["path", "hub", "hub_sketch"])
+
+
+def _judged(link: float):
+    """Which nodes of large buckets are linked to the hub (agreement of ``link``), and which stay in the splitting."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hubs, theirs = b.column(3), b.column(4).to_pylist()
+            near = np.full(b.num_rows, -1.0)
+            dense = [i for i, x in enumerate(theirs) if x is not None]
+            if dense:
+                near[dense] = _agreement(_marks(b.column(2).take(pa.array(dense)).to_pylist()), _marks([theirs[i] for i in dense]))
+            linked = pa.compute.if_else(pa.array(near >= link), hubs, pa.scalar(None, hubs.type))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), linked, pa.array(near < ALIKE)], names=["path", "node", "sketch", "hub", "stays"])
+
+    return judge
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of sets of ``a`` with sets of ``b``, by ranges of the hashes that both lists have."""
+    out = np.zeros((len(a), len(b)), dtype=np.float64)
+    if not a or not b:
+        return out
+    everything = [np.concatenate(x) for x in (a, b)]
+    owners = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b)]
+    both = np.intersect1d(*map(np.unique, everything), assume_unique=True)
+    if not len(both):
+        return out
+    sides = []
+    for values, owner in zip(everything, owners, strict=True):
+        column = np.minimum(np.searchsorted(both, values), len(both) - 1)
+        keep = both[column] == values
+        column, owner = column[keep], owner[keep]
+        order = np.argsort(column, kind="stable")
+        sides.append((column[order], owner[order]))
     width = 4096
-    out = np.zeros((n, n), dtype=np.float64)
-    for c in range(0, int(shared.sum()), width):
-        a, b = np.searchsorted(where, [c, c + width])
-        m = np.zeros((n, width), dtype=np.float32)
-        m[owner[a:b], where[a:b] - c] = 1
-        out += m @ m.T
-    np.fill_diagonal(out, 0)
-    return out + total
+    for c in range(0, len(both), width):
+        m = []
+        for (column, owner), x in zip(sides, (a, b), strict=True):
+            i, j = np.searchsorted(column, [c, c + width])
+            own = np.zeros((len(x), min(width, len(both) - c)), dtype=np.float32)
+            own[owner[i:j], column[i:j] - c] = 1
+            m.append(own)
+        out += m[0] @ m[1].T
+    return out
 
 
-def _compare_sets(threshold: float):
-    kind = pa.schema([("node", pa.binary()), ("root", pa.binary()), ("texts", pa.int64()), ("docs", pa.int64())])
+def _near(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -> np.ndarray:
+    sizes = np.array([len(s) for s in a], dtype=np.float64)[:, None] + np.array([len(s) for s in b], dtype=np.float64)[None, :]
+    return overlaps(a, b) * (1 + threshold) >= threshold * sizes - 1e-9
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for (_, i, j), (nodes, blocks, copies, raw) in _grouped(batches, 3):
-            first = {n: k for k, n in reversed(list(enumerate(nodes)))}  # a node may come with several of its documents
-            kept = sorted(first.values())
-            nodes, blocks, copies = [nodes[k] for k in kept], np.array([blocks[k] for k in kept]), np.array([copies[k] for k in kept])
-            sets = [np.frombuffer(raw[k], dtype=np.uint64) for k in kept]
-            sizes = np.array([len(s) for s in sets], dtype=np.float64)
-            if len(sets) < 2:
-                continue
-            common = intersections(sets)
-            near = common * (1 + threshold) >= threshold * (sizes[:, None] + sizes[None, :]) - 1e-9
-            np.fill_diagonal(near, False)
+
+def _links(nodes: list[bytes], copies: np.ndarray, sets: list[np.ndarray], edge: int, threshold: float) -> tuple[list[bytes], list[bytes], np.ndarray, np.ndarray]:
+    """Nodes with links, their root in this task, other texts and documents linked: of all pairs if ``edge`` is 0, else of nodes before ``edge`` with those from it on."""
+    n = len(sets)
+    texts, docs, root = np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n)
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = int(root[i])
+        return i
+
+    for i in range(0, edge or n, TILE):
+        rows = range(i, min(i + TILE, edge or n))
+        for j in range(edge or i, n, TILE):
+            near = _near(sets[i : rows.stop], sets[j : j + TILE], threshold)
+            if i == j:
+                np.fill_diagonal(near, False)
+            width = near.shape[1]
+            texts[i : rows.stop] += near.sum(axis=1)
+            docs[i : rows.stop] += near @ copies[j : j + width]
             if i != j:
-                near &= blocks[:, None] != blocks[None, :]
-            label, texts, docs = _labels(near), near.sum(axis=1), near @ copies
-            out += [(nodes[k], nodes[label[k]], int(texts[k]), int(docs[k])) for k in np.flatnonzero(texts).tolist()]
-            if len(out) >= 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kind.types, strict=True)], schema=kind)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kind.types, strict=True)], schema=kind)
+                texts[j : j + width] += near.sum(axis=0)
+                docs[j : j + width] += copies[i : rows.stop] @ near
+            for k in np.flatnonzero(near.any(axis=1)).tolist():
+                a = top(i + k)
+                for other in np.unique(root[j + np.flatnonzero(near[k])]).tolist():
+                    b = top(other)
+                    a, b = min(a, b), max(a, b)
+                    root[b] = a
+    linked = np.flatnonzero(texts).tolist()
+    return [nodes[k] for k in linked], [nodes[top(k)] for k in linked], texts[linked], docs[linked]
+
+
+_PACKED = "root binary, block int, blocks int, nodes array<binary>, roots array<binary>, texts array<bigint>, docs array<bigint>, lengths array<int>, payload binary"
+_PACKED_TYPES = [pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+
+
+def _pack(threshold: float):
+    """Groups of one block are compared; the blocks of larger ones are packed into a row each (``docs`` has the copies of their nodes)."""
+    names = [c.split()[0] for c in _PACKED.split(", ")]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (root, block, blocks), (nodes, copies, raw) in _grouped(batches, 3):
+            copies = np.array(copies, dtype=np.int64)
+            if blocks == 1:
+                found = _links(list(nodes), copies, [np.frombuffer(r, dtype=np.uint64) for r in raw], 0, threshold)
+                row = (root, block, blocks, *found, None, None)
+            else:
+                row = (root, block, blocks, list(nodes), None, None, copies, [len(r) // 8 for r in raw], b"".join(raw))
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _PACKED_TYPES, strict=True)], names=names)
+
+    return pack
+
+
+def _compare_blocks(threshold: float):
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (_, nodes, copies, lengths, payload) in _grouped(batches, 3):
+            sets: list[np.ndarray] = []
+            for own, raw in zip(lengths, payload, strict=True):
+                values = np.frombuffer(raw, dtype=np.uint64)
+                sets += np.split(values, np.cumsum(own)[:-1])
+            found = _links([n for own in nodes for n in own], np.concatenate([np.array(c, np.int64) for c in copies]), sets, len(nodes[0]) if len(nodes) > 1 else 0, threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, (pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["node", "root", "texts", "docs"])
 
     return compare
 
@@ -245,62 +347,78 @@ def _dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys).sortWithinPartitions(*keys)
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """node, root of the connected components of edges (a, b): large-star and small-star rounds, each written to the shared folder."""
     pairs = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
+    before, settled = None, False
     for _ in range(rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        pairs = stage(small, "star")
+        least = stage(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+        large = stage(join_hot(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large-star")
+        least2 = stage(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        links = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))
+        old, pairs = pairs, stage(join_hot(large, least2, "u").select(F.explode(links).alias("e")).select("e.u", "e.v").where("u <> v").distinct(), "small-star")
         now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
+        unstage(old, least, large, least2)
+        if settled := now == before:
             break
         before = now
+    if not settled:
+        raise RuntimeError(f"connected components haven't settled in {rounds} rounds")
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    out = stage(pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), "components")
+    unstage(pairs)
+    return out
 
 
-def _children(path: Column, run: Column) -> Column:
-    """The buckets of a node below a path: (path, coordinate value) for sampled coordinates."""
-    which = [F.pmod(F.xxhash64(path, F.lit(j)), F.lit(COORDINATES)).cast("int") for j in range(BRANCHES)]
-    return F.array_distinct(F.array(*[F.xxhash64(path, i, F.get("sketch", i)) for i in which]))
+def _children(path: Column, threshold: float) -> Column:
+    """The buckets of a node below a path: (path, coordinate, value) for one coordinate or two, 1 / threshold on average."""
+    which = [F.pmod(F.xxhash64(path, F.lit(j)), F.lit(COORDINATES)).cast("int") for j in (0, 1)]
+    first, second = (F.xxhash64(path, i, F.substring("sketch", 4 * i + 1, F.lit(4))) for i in which)
+    fork = F.pmod(F.xxhash64(path, F.lit("fork")), F.lit(1000)) < round(1000 * (1 / threshold - 1))
+    return F.when(fork & (which[0] != which[1]), F.array(first, second)).otherwise(F.array(first))
 
 
 def candidate_edges(nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """Edges (a, b) of a forest over nodes that shared a bucket of the chosen-path splits."""
+    """Edges (a, b), staged, of a forest over the nodes (node, sketch) that shared a bucket of the chosen-path splits and agree."""
     runs = runs_needed(threshold, recall)
-    if runs * BRANCHES > COORDINATES:
-        raise ValueError(f"a recall of {recall} at {threshold} needs {runs} runs; there are coordinates for {COORDINATES // BRANCHES}")
-    first = F.array(*[F.xxhash64(F.lit(i), F.get("sketch", F.lit(i))) for i in range(runs * BRANCHES)])  # each run starts on coordinates of its own
+    if runs > COORDINATES or threshold <= 0.5:
+        raise ValueError(f"a recall of {recall} at {threshold} needs {runs} runs; there are coordinates for {COORDINATES}, and thresholds are above 0.5")
+    agreement = least_agreement(threshold)
+    first = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", 4 * i + 1, 4)) for i in range(runs)])  # each run starts on a coordinate of its own
     members = nodes.select("node", F.explode(first).alias("path"))
-    leaves, stars = [], []
+    small, edges, used = [], [], []
     for depth in range(1, DEPTH + 1):
-        sizes = members.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        found = stage(members.join(sizes, "path"), f"bucket{depth}")
-        leaves.append(found.where(F.col("n") <= LIMIT).select("path", "node"))
-        large = found.where(F.col("n") > LIMIT)
-        if large.isEmpty():
+        sizes = stage(members.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"), f"sizes{depth}")
+        found = stage(join_hot(members, sizes.select("path", "n"), "path"), f"bucket{depth}")
+        small.append(found.where(F.col("n") <= LIMIT).select("path", "node"))
+        used += [sizes, found]
+        big = sizes.where(F.col("n") > LIMIT)
+        if big.isEmpty():
+            break
+        if depth == DEPTH:
+            edges.append(join_hot(found.where(F.col("n") > LIMIT).select("path", "node"), big, "path").select(F.col("node").alias("a"), F.col("least").alias("b")))
             break
-        large = stage(large.join(nodes, "node"), f"large{depth}")
-        # how alike a bucket is: the mean agreement of its nodes with one of them
-        hubs = large.groupBy("path").agg(F.min(F.struct("node", "sketch")).alias("hub"))
-        agreement = F.size(F.filter(F.zip_with("sketch", "hub.sketch", lambda a, b: a == b), lambda same: same)) / COORDINATES
-        alike = large.join(hubs, "path").groupBy("path").agg(F.avg(agreement).alias("sim")).where(F.lit(depth == DEPTH) | (F.col("sim") >= ALIKE)).select("path")
-        alike = stage(alike, f"alike{depth}")
-        whole = large.join(alike, "path", "left_semi")
-        stars.append(whole.join(whole.groupBy("path").agg(F.min("node").alias("hub")), "path").select(F.col("node").alias("a"), F.col("hub").alias("b")))
-        members = large.join(alike, "path", "left_anti").select("node", F.explode(_children(F.col("path"), F.lit(0))).alias("path"))
-    small = leaves[0]
-    for x in leaves[1:]:
-        small = small.unionByName(x)
-    compared = _dealt(small.join(nodes, "node").select("path", "node", "sketch"), "path").mapInArrow(_compare_sketches(least_agreement(threshold)), "a binary, b binary")
-    for x in stars:
+        large = stage(found.where(F.col("n") > LIMIT).join(nodes, "node"), f"large{depth}")
+        # about SAMPLE nodes of each bucket, by hash
+        sample = large.where(F.pmod(F.xxhash64("path", "node"), F.col("n")) < SAMPLE).select("path", "node", "sketch")
+        medoids = _dealt(sample, "path").mapInArrow(_medoids, "path bigint, hub binary, hub_sketch binary")
+        hubs = stage(big.select("path", "n").join(medoids, "path", "left"), f"hubs{depth}")
+        asked = join_hot(large.select("path", "node", "sketch"), hubs, "path").select("path", "node", "sketch", "hub", "hub_sketch")
+        judged = stage(asked.mapInArrow(_judged(ALIKE - (1 - agreement)), "path bigint, node binary, sketch binary, hub binary, stays boolean"), f"judged{depth}")
+        unstage(large, hubs)
+        used.append(judged)
+        edges.append(judged.where("hub is not null and hub <> node").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+        members = judged.where("stays").select("node", F.explode(_children(F.col("path"), threshold)).alias("path"))
+    leaves = small[0]
+    for x in small[1:]:
+        leaves = leaves.unionByName(x)
+    compared = _dealt(leaves.join(nodes, "node").select("path", "node", "sketch"), "path").mapInArrow(_compare_sketches(agreement), "a binary, b binary")
+    for x in edges:
         compared = compared.unionByName(x)
-    return compared
+    out = stage(compared.distinct(), "candidates")
+    unstage(*used)
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -308,34 +426,55 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     above), n_copies (documents with the same set), n_texts (other sets linked), h (a hash of its text), root (the name
     of its class)."""
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = stage(docs.select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("t")).mapInArrow(_sketches, "doc_id bigint, h bigint, node binary, sketch array<int>"), "sketches")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
-    nodes = stage(nodes, "nodes")
+    rows = stage(docs.select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("t")).mapInArrow(_sketches, "doc_id bigint, h bigint, node binary, sketch binary, size int"), "sketches")
+    nodes = stage(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("size").alias("size")), "nodes")
     edges = candidate_edges(nodes.where("sketch is not null").select("node", "sketch"), threshold, recall)
-    groups = stage(components(edges), "groups")
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = stage(groups.join(sizes, "root").join(nodes.select("node", "rep", "copies"), "node").select("root", "node", "rep", "copies", "blocks", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(0).cast("int").alias("block")), "members")
-
-    wanted = members.select(F.coalesce("rep", F.lit(-(2**63))).alias("rep")).distinct()
-    texts = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("rep"), "text").join(wanted, "rep", "left_semi")
-    sets = texts.select(F.col("text").cast("binary").alias("t")).mapInArrow(_sets, "node binary, shingles binary")
+    groups = components(edges)
+    unstage(edges)
+
+    known = stage(groups.join(nodes.select("node", "rep", "copies", "size"), "node"), "grouped")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.col("size").cast("bigint") * 8) / BLOCK_BYTES)).cast("int")
+    sizes = stage(known.groupBy("root").agg(F.count("*").alias("n"), blocks.alias("blocks")), "groups")
+    block = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(0).cast("int")
+    members = stage(join_hot(known, sizes, "root").select("root", block.alias("block"), "blocks", "node", "rep", "copies"), "members")
+    unstage(groups, known, sizes)
+
+    absent = F.lit(-(2**63))
+    wanted = stage(members.select(F.coalesce("rep", absent).alias("rep")).distinct(), "wanted")
+    texts = filter_by(docs.select(F.coalesce("doc_id", absent).alias("rep"), F.col("text").cast("binary").alias("t")), wanted, ["rep"], "left_semi")
+    sets = texts.select("t").mapInArrow(_sets, "node binary, shingles binary").dropDuplicates(["node"])  # a node may come with several of its documents
+    gathered = sets.join(members, "node").select("root", "block", "blocks", "node", "copies", "shingles")
+    packed = stage(_dealt(gathered, "root", "block", "blocks").mapInArrow(_pack(threshold), _PACKED), "packed", "none")
+    alone = packed.where("payload is null").select(F.explode(F.arrays_zip(F.col("nodes").alias("node"), F.col("roots").alias("root"), "texts", "docs")).alias("x")).select("x.*")
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j"))))
-    tasks = sets.join(members, "node").select("root", "node", "block", "copies", "shingles", pairs.alias("p")).select("root", "p.i", "p.j", "node", "block", "copies", "shingles")
-    linked = stage(_dealt(tasks, "root", "i", "j").mapInArrow(_compare_sets(threshold), "node binary, root binary, texts bigint, docs bigint"), "links")
+    tasks = packed.where("payload is not null").select("root", pairs.alias("p"), "block", "nodes", F.col("docs").alias("copies"), "lengths", "payload").select("root", "p.i", "p.j", "block", "nodes", "copies", "lengths", "payload")
+    linked = stage(alone.unionByName(_dealt(tasks, "root", "i", "j").mapInArrow(_compare_blocks(threshold), "node binary, root binary, texts bigint, docs bigint")), "links")
+    unstage(members, wanted, packed)
 
     classes = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = linked.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
-    whole = nodes.select("node", "rep", "copies").join(counts, "node", "left").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = whole.groupBy("root").agg(F.min("rep").alias("class_id"))
-    facts = whole.join(named, "root").select("node", "root", "class_id", "copies", F.coalesce("texts", F.lit(0)).alias("n_texts"), (F.col("copies") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"))
-    return rows.select("doc_id", "h", "node").join(facts, "node").select("doc_id", "class_id", "n_links", F.col("copies").alias("n_copies"), "n_texts", "h", "root")
+    whole = stage(nodes.select("node", "rep", "copies").join(counts, "node", "left").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node")), "whole")
+    named = stage(whole.groupBy("root").agg(F.min("rep").alias("class_id"), F.count("*").alias("n")), "named")
+    facts = stage(join_hot(whole, named, "root").select("node", "root", "class_id", "copies", F.coalesce("texts", F.lit(0)).alias("n_texts"), (F.col("copies") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links")), "facts")
+    unstage(nodes, linked, classes, whole, named)
+    return join_hot(rows.select("doc_id", "h", "node"), facts, "node", "copies").select("doc_id", "class_id", "n_links", F.col("copies").alias("n_copies"), "n_texts", "h", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """One row of each class of near duplicates, the one of the least doc_id; columns unchanged."""
+    """One row of each class of near duplicates, the one of the least doc_id; columns unchanged.
+
+    Rows that go are few next to those that stay: their keys (doc_id and text hash) are what the documents are filtered by.
+    """
     found = near_duplicates(docs, doc_id=doc_id, text=text, **kw)
-    kept = found.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "doc_id", "h")).alias("k"))
-    kept = kept.select(F.coalesce("k.doc_id", F.lit(-(2**63))).alias("__id"), F.col("k.h").alias("__h"))
-    columns = docs.columns
-    own = docs.withColumn("__id", F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(2**63)))).withColumn("__h", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    return own.join(kept, ["__id", "__h"], "left_semi").dropDuplicates(["__id", "__h"]).select(*columns)
+    absent = F.lit(-(2**63))
+    keyed = stage(found.select(F.coalesce("doc_id", absent).alias("__id"), F.col("h").alias("__h"), "root", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("order")), "classes")
+    kept = keyed.groupBy("root").agg(F.min(F.struct("order", "__id", "__h")).alias("k")).select("k.__id", "k.__h")
+    rows = keyed.groupBy("__id", "__h").agg(F.count("*").alias("rows"))
+    gone = stage(rows.join(kept, ["__id", "__h"], "left_anti").select("__id", "__h"), "gone")
+    again = stage(rows.join(kept, ["__id", "__h"]).where("rows > 1").select("__id", "__h"), "again")  # rows that are repeated as they are
+    own = docs.withColumn("__id", F.coalesce(F.col(doc_id).cast("bigint"), absent)).withColumn("__h", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    stay = filter_by(own, gone, ["__id", "__h"], "left_anti")
+    if not again.isEmpty():
+        once = filter_by(stay, again, ["__id", "__h"], "left_semi").dropDuplicates(["__id", "__h"])
+        stay = filter_by(stay, again, ["__id", "__h"], "left_anti").unionByName(once)
+    return stay.select(*docs.columns)

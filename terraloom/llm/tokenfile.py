@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, sliced, tokenizer_path
+from .common import scratch_dir, sliced, tokenizer_path
 
 #: Documents, chosen by a hash of doc_id, whose id arrays train the dictionary.
 DICTIONARY_SAMPLE = 1000
@@ -264,6 +264,6 @@ def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]
 
 def encode_documents(docs: DataFrame, *, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, **kw) -> DataFrame:
     """Write ``docs`` as a token file in the shared folder and return what the file says of each document."""
-    path = f"{shared_dir(docs.sparkSession)}/terraloom/tokens-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     write_token_files(docs, path, tokenizer=tokenizer_path(tokenizer), end_id=end_id, **kw)
     return read_token_files(docs.sparkSession, path)

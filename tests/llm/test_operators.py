@@ -247,12 +247,61 @@ def test_blocks_of_large_groups_agree(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     whole = sorted(map(tuple, neardup.near_duplicates(df).select("doc_id", "class_id", "n_links").collect()))
     monkeypatch.setattr(neardup, "BLOCK", 40)
+    monkeypatch.setattr(neardup, "TILE", 16)
     assert sorted(map(tuple, neardup.near_duplicates(df).select("doc_id", "class_id", "n_links").collect())) == whole
 
 
 def test_runs_reach_the_recall():
-    n = neardup.runs_needed(0.8, 0.99999)
-    assert n * neardup.BRANCHES <= neardup.COORDINATES and 0.55 < neardup.least_agreement(0.8) < 0.7
+    n = neardup.runs_needed(0.8, neardup.RECALL)
+    assert n <= neardup.COORDINATES and 0.55 < neardup.least_agreement(0.8) < 0.7
+    assert neardup.found_at(0.8, 1) == 0.8 and 0.2 < neardup.found_at(0.8, neardup.DEPTH) < 0.5
+
+
+def near_copies(n, words=160, seed=1):
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            w[rng.randrange(words)] = f"e{rng.randrange(10**9)}"
+        out.append((i, " ".join(w)))
+    return out
+
+
+def test_rows_of_near_copies_grow_in_proportion(spark, monkeypatch):
+    staged, stage = [], neardup.stage
+
+    def counted(df, name, *a):
+        out = stage(df, name, *a)
+        staged[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "stage", counted)
+    for n in (300, 600, 1200):
+        staged.append(0)
+        neardup.near_duplicates(spark.createDataFrame(near_copies(n), "doc_id bigint, text string"))
+    assert staged[1] < 2.4 * staged[0] and staged[2] < 2.4 * staged[1]
+
+
+def test_pairs_at_the_threshold_within_a_large_bucket_are_found(spark):
+    rng = random.Random(2)
+    line, rows, texts = [f"c{i}" for i in range(60)], [], {}
+    for p in range(600):  # every text has a line of a third of its words
+        w = [f"u{rng.randrange(10**9)}" for _ in range(85)]
+        v = [*w[:40], "new", *w[41:70], f"other{p}", *w[71:]]
+        texts |= {2 * p: " ".join(line + w), 2 * p + 1: " ".join(line + v)}
+    rows = neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    pairs = {(2 * p, 2 * p + 1) for p in range(600) if len(brute.shingles(texts[2 * p]) & brute.shingles(texts[2 * p + 1])) >= 0.8 * len(brute.shingles(texts[2 * p]) | brute.shingles(texts[2 * p + 1]))}
+    found = sum(r.n_links for r in rows) / 2
+    assert len(pairs) == 600 and 0.9 * len(pairs) <= found <= len(pairs)
+
+
+def test_components_fail_loudly(spark):
+    chain = spark.createDataFrame([(i.to_bytes(4, "big"), (i + 1).to_bytes(4, "big")) for i in range(40)], "a binary, b binary")
+    assert neardup.components(chain).select("root").distinct().count() == 1
+    with pytest.raises(RuntimeError):
+        neardup.components(chain, rounds=1)
 
 
 # ---- 8
