@@ -1,30 +1,33 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text is cut into clauses. Each word of a clause is read by a lexicon, which gives it a class and a weight: *insult*,
-*threat*, *target* (second person and the like), *negation*, *reported speech*, or none. Small transducers over these
-classes are composed into one automaton that walks the clause and adds weights along its path (a max-plus semiring):
-
-* INSULT: an insult adds its weight, a further one in the same clause adds a part of it;
-* TARGET: an insult or threat within a few words of a target is raised;
-* THREAT: a threat word adds its weight, but only with a target in reach;
-* NEGATION: an insult or threat just behind a negation is lowered;
-* REPORT: behind a verb of saying or in quotation marks, matches are lowered.
-
-The score of a text is a logistic function of its clauses' scores: the best one, their sum, and their share.
-
-The insult lexicon and its weights are learned from all labelled rows that aren't held out: words and word beginnings that toxic
-rows have and clean rows don't (log odds, each kept only if it explains toxic rows that better ones don't), besides the fixed seed
-lists. The logistic function is fitted to the same rows. Tasks count entries, rows explained and equal features; entries that
-tell, their counts and the sums of Newton's steps reach the driver, texts don't.
-
-Defined results: null and empty texts have no clauses and get the score of a text without matches; repeated rows are
-scored one by one; labels that contradict each other count as both; labels with nulls are not used; without any label
-the seed lists alone decide. Extra columns are ignored; labels, lang, source and doc_id are no inputs of a score.
+A text is cut into clauses. A lexicon reads each word as one of its classes, with a weight, or as any other word, without:
+*insult* (I), *threat* (H), *target* (T, second person and the like), *negation* (N), *verb of saying* (R); quotation marks are
+read as Q. Five transducers rewrite this tape, one after the other, and add weights (the max-plus semiring):
+
+* NEGATION: an insult or threat within two words behind a negation loses ``NEGATED``;
+* REPORT: behind a verb of saying, or within quotation marks, it loses ``REPORTED``;
+* TARGET: an insult with a target in reach, before or behind it, may be read as aimed (J) and gains ``AIMED``; a threat
+  passes only if aimed (G). That a target follows is guessed, and a path that guessed wrong isn't accepted;
+* INSULT: every insult of a clause but the first loses ``FURTHER``;
+* THREAT: so does every threat but the first.
+
+``compose`` joins them into one transducer. The weight of a clause is that of the best path of its words through lexicon and
+composition (Viterbi's algorithm); reading nothing as a match weighs 0, so no clause weighs less.
+The score of a text is a logistic function of its clauses' weights: the best one, their sum, and the share of clauses that match.
+
+The weights of insults are learned from all labelled rows that aren't held out: words and word beginnings that toxic
+rows have and clean rows don't (log odds; those that explain toxic rows that better ones don't, then others as telling, ``ENTRIES`` in all
+out of the ``TELLING`` most telling ones: the size of the model), besides fixed seed lists. The logistic function is
+fitted to the same rows. Tasks count entries, rows explained and equal features; entries that tell, their counts and the sums of
+Newton's steps reach the driver, texts don't.
+
+Defined results: null and empty texts have no clauses and get the score of a text without matches; very long texts are read
+whole; repeated rows and ties are scored alike, one by one; an empty table gives an empty result; labels that contradict each other count as both; labels with
+nulls are not used; without any label the seed lists alone decide. Extra columns are ignored; labels, lang, source and doc_id are no inputs of a score.
 """
 
 from __future__ import annotations
 
-import bisect
 import math
 import re
 from collections import Counter
@@ -36,12 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import FILTER_KEYS, stage, unstage
 
 #: Counts that a task holds before it hands them on.
 HELD = 200_000
-#: Learned entries, at most, and the least number of toxic rows that have one.
-ENTRIES, LEAST = 400, 3
+#: Learned entries, at most; those looked at when they are chosen; the least number of toxic rows that have one.
+ENTRIES, TELLING, LEAST = 400, 20_000, 3
+#: One in so many clean rows rules out most entries before all clean rows are counted.
+SLICE = 16
 PREFIX = (3, 4, 5, 6, 7, 8)
 
 # Seed words of the grammar's classes, in four languages.
@@ -51,18 +56,165 @@ NEGATIONS = "not no never isn't aren't don't nicht kein keine nie pas jamais auc
 REPORTS = "said says say called calls told claims claimed wrote writes quoted sagte sagt schrieb dit disait écrit dijo dice escribió"
 INSULTS = "idiot moron stupid loser scum trash worthless pathetic disgusting"
 
-CLAUSE = re.compile(r"[.!?;:|\n]+")
+#: Ends of clauses. A colon doesn't end one, so that a verb of saying reaches what is said.
+CLAUSE = re.compile(r"[.!?;|\n]+")
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-#: What stands in the automaton's way: how far a class reaches, and its factor.
-TARGET_REACH, TARGET_GAIN = 6, 1.25
-NEGATION_REACH, NEGATION_FACTOR = 2, 0.35
-REPORT_FACTOR, FURTHER = 0.5, 0.5
-THREAT_WEIGHT = 1.0
+SYMBOL = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”„«»]")
+QUOTES = frozenset('"“”„«»')
+#: Words that a target and a negation reach.
+TARGET_REACH, NEGATION_REACH = 6, 2
+#: Weights of the transducers' arcs, and of a threat.
+AIMED, NEGATED, REPORTED, FURTHER, THREAT = 0.5, -3.0, -1.5, -2.0, 1.0
+
+MATCHES = ("I", "H", "J", "G")
+CLASSES = ("O", "I", "H", "T", "N", "R", "Q")
+
+
+class Transducer:
+    """Arcs by state and input symbol: lists of (output symbol, weight, next state). States that aren't in ``final`` don't accept."""
+
+    def __init__(self, start, arcs: dict, final):
+        self.start, self.arcs, self.final = start, arcs, final
+
+    def paths(self, tape: str):
+        """(output, weight) of every accepting path."""
+        found = [("", 0.0, self.start)]
+        for x in tape:
+            found = [(out + o, w + v, n) for out, w, state in found for o, v, n in self.arcs.get((state, x), ())]
+        return [(out, w) for out, w, state in found if state in self.final]
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """The transducer that reads ``a``'s input and writes what ``b`` makes of ``a``'s output; weights add up."""
+    ahead: dict = {}
+    for (state, x), arcs in a.arcs.items():
+        ahead.setdefault(state, []).append((x, arcs))
+    start = (a.start, b.start)
+    arcs, seen, open_ = {}, {start}, [start]
+    while open_:
+        here = open_.pop()
+        for x, own in ahead.get(here[0], ()):
+            joined = [(o2, w + v, (n, n2)) for o, w, n in own for o2, v, n2 in b.arcs.get((here[1], o), ())]
+            if joined:
+                arcs[here, x] = joined
+            for _, _, n in joined:
+                if n not in seen:
+                    seen.add(n)
+                    open_.append(n)
+    return Transducer(start, arcs, {s for s in seen if s[0] in a.final and s[1] in b.final})
+
+
+def negation() -> Transducer:
+    """The state is how many words a negation still reaches."""
+    arcs = {}
+    for left in range(NEGATION_REACH + 1):
+        for x in CLASSES:
+            weight = NEGATED if left and x in MATCHES else 0.0
+            arcs[left, x] = [("O", 0.0, NEGATION_REACH)] if x == "N" else [(x, weight, left if x == "Q" else max(0, left - 1))]
+    return Transducer(0, arcs, range(NEGATION_REACH + 1))
+
+
+def report(quoted: bool = False) -> Transducer:
+    """States: the writer's own words, words behind a verb of saying, a quotation. ``quoted``: the clause starts within a quotation."""
+    arcs = {}
+    for state in ("own", "told", "quoted"):
+        for x in set(CLASSES) - {"N"}:
+            after = ("told" if state == "own" else state) if x == "R" else ({"quoted": "own"}.get(state, "quoted") if x == "Q" else state)
+            arcs[state, x] = [("O" if x in "RQ" else x, REPORTED if state != "own" and x in MATCHES else 0.0, after)]
+    return Transducer("quoted" if quoted else "own", arcs, ("own", "told", "quoted"))
+
+
+def target() -> Transducer:
+    """States: (words that the last target still reaches, words within which a target must follow, or 0)."""
+    arcs = {}
+    r = TARGET_REACH
+    for seen in range(r + 1):
+        for owed in range(r + 1):
+            left = max(0, seen - 1)
+            rest = [] if owed == 1 else [(left, max(0, owed - 1))]  # the last word on which a promised target could come
+            for x in ("O", "I", "H", "T"):
+                if x == "T":
+                    arcs[(seen, owed), x] = [("O", 0.0, (r, 0))]
+                    continue
+                out = [(x, 0.0, n) for n in rest] if x != "H" else []
+                if x in "IH":
+                    aimed, gain = ("J", AIMED) if x == "I" else ("G", 0.0)
+                    if seen:
+                        out += [(aimed, gain, n) for n in rest]
+                    out += [(aimed, gain, (n[0], n[1] or r)) for n in rest]
+                arcs[(seen, owed), x] = out
+    return Transducer((0, 0), arcs, {(seen, 0) for seen in range(r + 1)})
+
+
+def _first_counts(own: str, others: str) -> Transducer:
+    """Each symbol of ``own`` but the first loses FURTHER; all symbols pass."""
+    arcs = {(k, x): [(x, FURTHER if k and x in own else 0.0, 1 if x in own else k)] for k in (0, 1) for x in own + others}
+    return Transducer(0, arcs, (0, 1))
+
+
+def insult() -> Transducer:
+    return _first_counts("IJ", "OG")
+
+
+def threat() -> Transducer:
+    return _first_counts("G", "OIJ")
+
+
+def grammar_transducer(quoted: bool = False) -> Transducer:
+    """The composition of the five."""
+    whole = negation()
+    for t in (report(quoted), target(), insult(), threat()):
+        whole = compose(whole, t)
+    return whole
+
+
+class Automaton:
+    """The composed transducer with states numbered, for the search of the best path; outputs don't matter any more."""
+
+    def __init__(self, t: Transducer):
+        number: dict = {}
+        at = lambda s: number.setdefault(s, len(number))
+        self.start = at(t.start)
+        self.arcs: dict[str, dict[int, list[tuple[int, float]]]] = {x: {} for x in CLASSES}
+        for (state, x), arcs in t.arcs.items():
+            best: dict[int, float] = {}
+            for _, w, n in arcs:
+                best[at(n)] = max(w, best.get(at(n), -math.inf))
+            self.arcs[x][at(state)] = list(best.items())
+        self.final = {number[s] for s in t.final}
+
+    def best(self, tape: list[list[tuple[str, float]]]) -> float:
+        """The greatest weight of a path; each position of the tape has the (class, weight) it can be read as."""
+        reached = {self.start: 0.0}
+        for readings in tape:
+            after: dict[int, float] = {}
+            for x, weight in readings:
+                arcs = self.arcs[x]
+                for state, total in reached.items():
+                    for n, w in arcs.get(state, ()):
+                        v = total + weight + w
+                        if v > after.get(n, -math.inf):
+                            after[n] = v
+            reached = after
+        return max((w for s, w in reached.items() if s in self.final), default=0.0)
+
+
+_automata: list[Automaton] = []
+
+
+def automaton(quoted: bool) -> Automaton:
+    if not _automata:
+        _automata.extend(Automaton(grammar_transducer(q)) for q in (False, True))
+    return _automata[quoted]
+
+
+_OTHER = [("O", 0.0)]
+_QUOTE = [("Q", 0.0)]
 
 
 @dataclass
 class Grammar:
-    """Lexicon and transducers. ``words`` and ``beginnings`` have weights of insults."""
+    """The lexicon, and the logistic function's coefficients. ``words`` and ``beginnings`` have weights of insults."""
 
     words: dict[str, float]
     beginnings: dict[str, float]
@@ -71,6 +223,8 @@ class Grammar:
 
     def __post_init__(self):
         self.lengths = sorted({len(b) for b in self.beginnings})
+        self.threats = frozenset(w for w, c in self.classes.items() if c == "H")
+        self.targets = frozenset(w for w, c in self.classes.items() if c == "T")
 
     def weight(self, word: str) -> float:
         w = self.words.get(word, 0.0)
@@ -80,66 +234,58 @@ class Grammar:
             w = max(w, self.beginnings.get(word[:n], 0.0))
         return w
 
-    def clause(self, words: list[str], weights: dict[str, float], quoted: bool = False) -> float:
-        """Weight of the best path through the composed transducers."""
-        targets = [i for i, w in enumerate(words) if self.classes.get(w) == "T"]
-        total, found, report, negated = 0.0, 0, quoted, -99
-        for i, w in enumerate(words):
-            kind = self.classes.get(w)
-            if kind == "R":
-                report = True
-            elif kind == "N":
-                negated = i
-            x = weights.get(w, 0.0)
-            if not x and kind != "H":
-                continue
-            at = bisect.bisect_left(targets, i - TARGET_REACH)
-            near = at < len(targets) and targets[at] <= i + TARGET_REACH
-            if kind == "H" and near:
-                x = max(x, THREAT_WEIGHT)
-            if not x:
-                continue
-            if i - negated <= NEGATION_REACH:
-                x *= NEGATION_FACTOR
-            if report:
-                x *= REPORT_FACTOR
-            x *= FURTHER ** min(found, 3)
-            found += 1
-            total += x * (TARGET_GAIN if near else 1)
-        return total
+    def readings(self, word: str) -> list[tuple[str, float]]:
+        """What a word can be read as."""
+        if word in QUOTES:
+            return _QUOTE
+        kind = self.classes.get(word)
+        # targets, negations and verbs of saying are always read as such
+        out = [(kind, 0.0)] if kind in ("T", "N", "R") else [("O", 0.0)]
+        if kind == "H":
+            out.append(("H", THREAT))
+        if w := self.weight(word):
+            out.append(("I", w))
+        return out
+
+    def tape(self, words: list[str]) -> list[list[tuple[str, float]]]:
+        """Readings of a clause's words. Of other words in a row, those beyond the farthest reach change nothing and are left out."""
+        out: list[list[tuple[str, float]]] = []
+        others, readings = 0, {w: self.readings(w) for w in set(words)}
+        for w in words:
+            r = readings[w]
+            others = others + 1 if r == _OTHER else 0
+            if others <= max(TARGET_REACH, NEGATION_REACH) + 1:
+                out.append(r)
+        return out
+
+    def clause(self, words: list[str], quoted: bool = False) -> float:
+        """Weight of the best path of a clause's words (and quotation marks)."""
+        return automaton(quoted).best(self.tape(words))
+
+    def clauses(self, text: str | None) -> Iterator[tuple[int, int, float]]:
+        """(start, end, weight) of each clause that has words; code points of the lowered text."""
+        lowered = (text or "").lower()
+        hot = {w for w in set(WORD.findall(lowered)) if w in self.threats or self.weight(w)}
+        odd, start = False, 0
+        for end, after in [*(m.span() for m in CLAUSE.finditer(lowered)), (len(lowered), len(lowered))]:
+            found = SYMBOL.findall(lowered, start, end)
+            marks = sum(x in QUOTES for x in found)
+            if len(found) > marks:
+                yield start, end, 0.0 if hot.isdisjoint(found) else self.clause(found, odd)
+            odd = odd != bool(marks % 2)
+            if "\n" in lowered[end:after]:
+                odd = False  # a quotation ends with its line at the latest
+            start = after
 
     def features(self, text: str | None) -> tuple[float, float, float]:
         """Best clause, log of the clauses' sum, share of clauses with a match."""
         if not text:
             return 0.0, 0.0, 0.0
-        lowered = text.lower()
-        words = set(WORD.findall(lowered))
-        weights = {w: x for w in words if (x := self.weight(w))}
-        threats = words & self.threats
-        if not weights and not (threats and words & self.targets):
+        words = set(WORD.findall(text.lower()))
+        if not any(map(self.weight, words)) and (words.isdisjoint(self.threats) or words.isdisjoint(self.targets)):
             return 0.0, 0.0, 0.0
-        best = total = 0.0
-        hit = n = 0
-        hot = weights.keys() | threats
-        for c in CLAUSE.split(lowered):
-            found = WORD.findall(c)
-            if not found:
-                continue
-            n += 1
-            if hot.isdisjoint(found):
-                continue
-            x = self.clause(found, weights, c.count('"') >= 2)
-            if x:
-                hit, total, best = hit + 1, total + x, max(best, x)
-        return best, math.log1p(total), hit / max(n, 1)
-
-    @property
-    def threats(self) -> frozenset[str]:
-        return _THREATS
-
-    @property
-    def targets(self) -> frozenset[str]:
-        return _TARGETS
+        weights = [w for _, _, w in self.clauses(text)]
+        return max(weights, default=0.0), math.log1p(sum(weights)), sum(w > 0 for w in weights) / max(len(weights), 1)
 
     def score(self, text: str | None) -> float:
         b, *c = self.coefficients
@@ -147,9 +293,6 @@ class Grammar:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-_THREATS, _TARGETS = frozenset(THREATS.split()), frozenset(TARGETS.split())
-
-
 def _entries(text: str) -> set[str]:
     """Words of a text, and their beginnings (written with a star)."""
     words = set(WORD.findall(text.lower()))
@@ -178,11 +321,13 @@ def _counts(update) -> object:
     return run
 
 
-def _telling(rows: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[str, int, float]]:
-    """entry, toxic rows, log odds of all entries that toxic rows have and clean rows don't, by name."""
+def _counted(rows: DataFrame, only: dict[str, int] | None = None) -> DataFrame:
+    """e, toxic, clean: rows that have each entry, of ``only`` these entries if given (small: it is broadcast)."""
+    shared = rows.sparkSession.sparkContext.broadcast(only)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple] = {}
+        wanted = shared.value
 
         def update(held: Counter, text: str, label: int) -> None:
             entries: set = set()
@@ -191,17 +336,45 @@ def _telling(rows: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[str, int
                 if own is None:
                     if len(known) >= HELD:
                         known.clear()
-                    own = known[w] = (w, *(w[:n] + "*" for n in PREFIX if n < len(w)))
-                entries.update(own)
+                    own = (w, *(w[:n] + "*" for n in PREFIX if n < len(w)))
+                    own = known[w] = own if wanted is None else tuple(e for e in own if e in wanted)
+                if own:
+                    entries.update(own)
             held.update([(e, int(label != 0)) for e in entries])
 
         yield from _counts(update)(batches, ("e", "y"), (pa.string(), pa.int32()))
 
     of = lambda y: F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0))
-    counted = rows.mapInArrow(count, "e string, y int, n bigint").groupBy("e").agg(of(1).alias("toxic"), of(0).alias("clean"))
+    return rows.mapInArrow(count, "e string, y int, n bigint").groupBy("e").agg(of(1).alias("toxic"), of(0).alias("clean"))
+
+
+def _tells(n_toxic: int, n_clean: int):
+    """Log odds of an entry, and whether they tell, given its rows. More clean rows only make it tell less."""
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    told = counted.where(F.col("toxic") >= LEAST).withColumn("odds", odds).where((F.col("odds") >= 2.0) & (F.col("toxic") >= 4 * F.col("clean") * (n_toxic + 1) / (n_clean + 1)))
-    return sorted((r.e, r.toxic, r.odds) for r in told.select("e", "toxic", "odds").collect())  # a row for each telling entry
+    return odds, (F.col("toxic") >= LEAST) & (odds >= 2.0) & (F.col("toxic") >= 4 * F.col("clean") * (n_toxic + 1) / (n_clean + 1))
+
+
+def _telling(rows: DataFrame, n_toxic: int, n_clean: int, most: int = TELLING, broadcast: int = FILTER_KEYS) -> list[tuple[str, int, float]]:
+    """entry, toxic rows, log odds of entries that toxic rows have and clean rows don't, the ``most`` telling ones, by name.
+
+    Toxic rows and a slice of the clean ones leave few entries that can still tell (an entry's clean rows only become more), and
+    only those are counted in all other rows.
+    """
+    odds, tells = _tells(n_toxic, n_clean)
+    first = (F.col("y") != 0) | (F.pmod(F.xxhash64("t"), F.lit(SLICE)) == 0)
+    open_ = stage(_counted(rows.where(first)).where(tells), "open-entries")
+    n = open_.count()
+    if not n:
+        unstage(open_)
+        return []
+    rest = rows.where(~first)
+    few = n <= broadcast
+    more = _counted(rest, dict.fromkeys((r.e for r in open_.select("e").collect()), 1) if few else None).select("e", F.col("clean").alias("more"))
+    joined = open_.join(F.broadcast(more) if few else more, "e", "left")
+    whole = joined.select("e", "toxic", (F.col("clean") + F.coalesce("more", F.lit(0))).alias("clean"))
+    told = whole.where(tells).select("e", "toxic", odds.alias("odds")).orderBy((F.col("toxic") * F.col("odds")).desc(), "e").limit(most).collect()
+    unstage(open_)
+    return sorted((r.e, r.toxic, r.odds) for r in told)
 
 
 def _explaining(rows: DataFrame, told: list[tuple[str, int, float]], most: int) -> list[int]:
@@ -223,6 +396,7 @@ def _explaining(rows: DataFrame, told: list[tuple[str, int, float]], most: int)
             break
         best = max(counts, key=lambda r: (r.n * told[r.i][2], -len(told[r.i][0]), told[r.i][0]))
         kept.append(best.i)
+    unstage(open_)
     return kept
 
 
@@ -297,8 +471,12 @@ def held_out(doc_id):
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Grammar:
     """Learn a grammar from all labelled rows that aren't held out."""
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("y").isNotNull()).distinct()
+    few = known.count() <= FILTER_KEYS  # ids and labels
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t"))
-    return learn(stage(texts.join(known, "doc_id").select("t", "y"), "labelled"))
+    rows = stage(texts.join(F.broadcast(known) if few else known, "doc_id").select("t", "y"), "labelled")
+    grammar = learn(rows)
+    unstage(rows)
+    return grammar
 
 
 def scorer(grammar: Grammar, spark):

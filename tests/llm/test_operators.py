@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -365,14 +366,48 @@ def test_toxicity_learns_from_all_labels(spark):
 
 
 def test_grammar():
-    g = toxicity.Grammar({"idiot": 2.0}, {"scum": 2.0})
-    plain, aimed = g.features("what an idiot")[0], g.features("you idiot")[0]
-    assert aimed > plain > g.features("he said what an idiot")[0] > 0
-    assert plain > g.features("not idiot")[0] and g.features("scumbag")[0] > 0
-    assert g.features("kill you")[0] > 0 == g.features("kill time")[0]
+    g = toxicity.Grammar({"idiot": 4.0}, {"scum": 4.0})
+    weight = lambda t: g.features(t)[0]
+    plain, aimed = weight("what an idiot"), weight("you idiot")
+    assert aimed > plain > weight("he said what an idiot") > 0
+    assert plain > weight("not idiot") > 0 and weight("scumbag") > 0
+    assert weight("kill you") > 0 == weight("kill time") and weight("i will kill all of you") == toxicity.THREAT
+    assert weight("he wrote: you idiot") == weight("he wrote you idiot") < aimed  # a colon doesn't end a clause
+    assert [w for _, _, w in g.clauses('"what a day. an idiot" an idiot')] == [0.0, plain + toxicity.REPORTED + plain + toxicity.FURTHER]
+    assert [w for _, _, w in g.clauses('"an idiot\nan idiot')] == [plain + toxicity.REPORTED, plain]  # a quotation ends with its line
+    assert weight("idiot" + " x" * toxicity.TARGET_REACH + " you") == plain and weight("idiot" + " x" * (toxicity.TARGET_REACH - 1) + " you") == aimed
     assert g.features(None) == g.features("") == (0.0, 0.0, 0.0)
 
 
+def test_best_path_against_all_paths():
+    rng, g = random.Random(1), toxicity.Grammar({"idiot": 4.0, "fool": 2.5, "kill": 0.5}, {"scum": 3.0})
+    words = ["idiot", "fool", "scumbag", "you", "not", "said", '"', "kill", "burn", "x", "y"]
+    for _ in range(150):
+        clause, quoted = [rng.choice(words) for _ in range(rng.randrange(1, 8))], rng.random() < 0.3
+        best = 0.0
+        for choice in itertools.product(*map(g.readings, clause)):  # each way to read the clause goes through the five machines, one after the other
+            tapes = [("".join(c for c, _ in choice), sum(w for _, w in choice))]
+            for machine in (toxicity.negation(), toxicity.report(quoted), toxicity.target(), toxicity.insult(), toxicity.threat()):
+                tapes = [(out, w + v) for tape, w in tapes for out, v in machine.paths(tape)]
+            best = max([best, *(w for _, w in tapes)])
+        assert g.clause(clause, quoted) == pytest.approx(best), clause
+    whole = toxicity.grammar_transducer()
+    assert sorted(whole.paths("ITO")) == sorted((o, w) for a, u in toxicity.target().paths("ITO") for o, w in [(a, u)])
+    for n in range(6, 12):  # other words beyond every reach are left out
+        assert g.clause(["idiot", *"x" * n, "you", "fool"]) == toxicity.automaton(False).best([g.readings(w) for w in ["idiot", *"x" * n, "you", "fool"]])
+
+
+def test_telling_entries_by_either_way(spark):
+    rng = random.Random(5)
+    rows = [(" ".join(rng.choice(["bad", "baddest", "vile"]) if y and rng.random() < 0.3 else f"w{rng.randrange(60)}" for _ in range(12)).replace("w5", "x"), y) for y in [i % 4 == 0 for i in range(800)]]
+    df = spark.createDataFrame([(t, int(y)) for t, y in rows], "t string, y int")
+    a, b = toxicity._telling(df, 200, 600), toxicity._telling(df, 200, 600, broadcast=0)
+    assert a == b and {"vile", "bad*"} <= {e for e, _, _ in a}
+    for e, toxic, _ in a:
+        own = [y for t, y in rows if any(w == e or (e[-1] == "*" and w.startswith(e[:-1]) and len(w) >= len(e)) for w in toxicity.WORD.findall(t))]
+        assert sum(own) == toxic
+
+
 # ---- odd input
 
 
