@@ -9,9 +9,10 @@ patterns whose last block (within the group's shortest length) has this hash. Wh
 text. The text is cut into lanes, which advance together under NumPy, so that the skips stay data-dependent without a
 Python step per position.
 
-Defined results: a null or empty text has no words, no hits and is clean; repeated rows are judged one by one; null
+Defined results: a null or empty text has no words, no hits and is clean; very long texts are searched whole; repeated rows are judged one by one; null
 item texts and items without words have no windows; repeated items count once per item_id; a null item_id reads
-``null``. Extra columns are ignored, whatever their names.
+``null``. Empty tables of documents give empty results, those of items
+no hits. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import normal_words, sliced, stage
+from .common import ascii_lower, normal_words, sliced, stage
 
 WINDOW = 8
 #: Items of more text than this are searched in several passes, each over a shard of the items.
@@ -31,6 +32,10 @@ SHARD_BYTES = 32 << 20
 #: Length groups: patterns of at least this many bytes use blocks of so many bytes.
 GROUPS = ((24, 8), (12, 6), (6, 4), (0, 3))
 LANE = 2048
+#: Hits of several shards are broadcast if they have about so many values at most.
+HIT_VALUES = 4_000_000
+#: What a word is once A-Z are lowered, for Spark's regular expressions.
+WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RESULT = "struct<n_words:bigint,hits:array<int>,items:array<string>>"
 
 
@@ -173,8 +178,8 @@ def _matcher_udf(items: list[tuple[str, bytes | None]], spark):
 def find_windows(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "found", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` with a struct column ``out``: n_words, hits (flat [from, to) word ranges), items (sorted ids).
 
-    The items are broadcast only in shards of checked size; more items than one shard are searched shard after shard,
-    and the results are merged row by row. There is no shuffle of documents.
+    The items are broadcast only in shards of checked size. With one shard, documents aren't shuffled. More shards are searched one after the other;
+    only digests of texts with hits, and the hits, are written, and meet the documents by a broadcast if they are few.
     """
     spark = docs.sparkSession
     items = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.col(item_text).cast("string").cast("binary").alias("t")).where("t is not null")
@@ -184,17 +189,25 @@ def find_windows(docs: DataFrame, items: DataFrame, *, text: str = "text", item_
         rows = [(r.i, bytes(r.t)) for r in items.collect()]
         return docs.withColumn(out, _matcher_udf(rows, spark)(F.col(text).cast("string")))
     items = items.withColumn("k", F.pmod(F.xxhash64("i", "t"), F.lit(shards)))
-    columns = docs.columns
+    # each pass keeps what occurs in texts that have hits, by a digest of the text; texts without hits are never written
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    keyed = docs.select(F.sha2(t.cast("binary"), 256).alias("__text"), t.alias("t"))
+    hits = None
     for k in range(shards):
         rows = [(r.i, bytes(r.t)) for r in items.where(F.col("k") == k).collect()]
-        new = docs.withColumn("__shard", _matcher_udf(rows, spark)(F.col(text).cast("string")))
-        merged = F.col("__shard") if k == 0 else _merge(F.col(out), F.col("__shard"))
-        docs = stage(new.select(*columns, merged.alias(out)), f"windows{k}")
-    return docs
-
-
-def _merge(a: Column, b: Column) -> Column:
-    return F.struct(a["n_words"].alias("n_words"), F.concat(a["hits"], b["hits"]).alias("hits"), F.array_distinct(F.concat(a["items"], b["items"])).alias("items"))
+        found = keyed.select("__text", _matcher_udf(rows, spark)(F.col("t")).alias("f")).where(F.size("f.items") > 0).select("__text", "f.hits", "f.items").dropDuplicates(["__text"])
+        found = stage(found, f"windows{k}")
+        hits = found if hits is None else hits.unionByName(found)
+    # a row for each shard at most
+    merged = stage(hits.groupBy("__text").agg(F.flatten(F.collect_list("hits")).alias("__hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("__items")), "windows")
+    size = merged.agg(F.sum(F.size("__hits") + F.size("__items") * 4 + 16)).first()[0] or 0
+    joined = docs.withColumn("__text", F.sha2(t.cast("binary"), 256)).join(F.broadcast(merged) if size <= HIT_VALUES else merged, "__text", "left")
+    result = F.struct(
+        F.regexp_count(ascii_lower(t), F.lit(WORDS)).cast("bigint").alias("n_words"),
+        F.coalesce("__hits", F.array().cast("array<int>")).alias("hits"),
+        F.coalesce("__items", F.array().cast("array<string>")).alias("items"),
+    )
+    return joined.select(*docs.columns, result.alias(out))
 
 
 def n_hit(hits: Column) -> Column:

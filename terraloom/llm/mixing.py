@@ -11,12 +11,17 @@ target stops at three times its source's words, and the excess is shared again b
 Ranks and word positions are running sums; they are taken within buckets of bounded size (slots by number, documents
 by a hash), and the buckets' totals are summed by source, so that a source with most of the rows isn't one task.
 
-Defined results: a null text has no words, and takes none; repeated rows are documents of their own, ordered by the hash, then doc_id, then text hash;
+What is known of each source (a row for each) is ordered and summed in one task, and read by the driver. Slots have
+``BLOCK`` words whatever the size of a source, so one whose target is near that or below may be off by all its words.
+
+Defined results: a null or empty text has no words, and takes none; a very long text is a document of many blocks; repeated rows are documents of their own, ordered by the hash, then doc_id, then text hash;
 a null source is a source; an empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -75,7 +80,7 @@ def schedule(shares: DataFrame, block: int = BLOCK) -> DataFrame:
     words = [int(r.target) for r in rows]
     total = sum(words)
     slots = -(-total // block)
-    edges = [sum(words[: i + 1]) * 2**BITS // total if total else 0 for i in range(len(words))]
+    edges = [w * 2**BITS // total if total else 0 for w in accumulate(words)]
     cuts = spark.createDataFrame([(r.rank, a, b) for r, a, b in zip(rows, [0, *edges], edges, strict=False) if a < b], "rank int, lo bigint, hi bigint")
     points = spark.range(slots).withColumnRenamed("id", "slot").withColumn("point", F.pmod("slot", F.lit(2**BITS)) * STEP % F.lit(2**BITS))
     # points and the sources' intervals meet in cells of equal width, each of which a few intervals cross

@@ -15,8 +15,8 @@ keeps it within its part, the parts' totals (one row for each part) give the res
 Encoding is by the tokenizers library. A text is cut into the pieces that no token crosses, the pieces' ids are kept in
 a bounded cache of each Python worker, and only unknown pieces go through the library's model.
 
-Defined results: a null or empty text is just the end id; repeated rows are all kept, next to each other; null
-doc_ids come first; an empty table gives an empty file. Extra columns are ignored.
+Defined results: a null or empty text is just the end id; very long texts are encoded whole; repeated rows are all kept, next to each other, tied doc_ids in
+the order of a checksum of their ids, then of their frames; null doc_ids come first; an empty table gives an empty file. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 
 from .common import scratch_dir, sliced, tokenizer_path
 
-#: Documents, chosen by a hash of doc_id, whose id arrays train the dictionary.
-DICTIONARY_SAMPLE = 1000
+#: Documents, chosen by a hash of doc_id, whose id arrays train the dictionary, and the bytes of each array that are looked at.
+DICTIONARY_SAMPLE, SAMPLE_BYTES = 1000, 16 << 10
 DICTIONARY_BYTES = 112 << 10
 BLOCK_BYTES = 2 << 20
 CACHE_ENTRIES = 350_000
@@ -93,7 +93,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # texts with the string of an added token are left to the library, which gives them that token's id
+        self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.type = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         settings = json.loads(self.tokenizer.to_str())
         before = settings.get("pre_tokenizer") or {}
@@ -111,7 +112,7 @@ class PieceEncoder:
         out, whole, ids = [b""] * len(texts), [], self.pieces.__getitem__
         for i, t in enumerate(texts):
             plain = t.isascii()
-            if not self.byte_level or (_UNSURE_ASCII.search(t) if plain else not _UNSURE.isdisjoint(t)):
+            if not self.byte_level or self.added.search(t) or (_UNSURE_ASCII.search(t) if plain else not _UNSURE.isdisjoint(t)):
                 whole.append(i)
             else:
                 out[i] = b"".join(map(ids, (_ASCII_PIECE if plain else _PIECE).findall(t)))
@@ -149,16 +150,24 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, end_id: int
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     chosen = [r.doc_id for r in docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICTIONARY_SAMPLE).collect()]
-    sample = docs.where(F.col("doc_id").isin(chosen)).orderBy("doc_id", "text").select("text").limit(2 * DICTIONARY_SAMPLE).collect() if chosen else []
     own = encoder(tokenizer)
     end = np.array([end_id], dtype=own.type).tobytes()
-    content = train([x + end for x in own.encode([r.text for r in sample])])
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([(x + end)[:SAMPLE_BYTES] for x in enc.encode(b.column(1).to_pylist())], pa.binary())], names=["doc_id", "ids"])
+
+    # at most 2 * DICTIONARY_SAMPLE * SAMPLE_BYTES reach the driver
+    sample = docs.where(F.col("doc_id").isin(chosen)).mapInArrow(heads, "doc_id bigint, ids binary").orderBy("doc_id", "ids").limit(2 * DICTIONARY_SAMPLE).collect() if chosen else []
+    content = train([bytes(r.ids) for r in sample])
     name = hashlib.sha256(content).hexdigest()
     spark.createDataFrame([(name, bytearray(content), own.type.itemsize, end_id)], "dict_sha256 string, dictionary binary, id_bytes int, end_id int").coalesce(1).write.mode("overwrite").parquet(f"{path}/dictionary")
 
-    # ascending ranges of doc_id with about as many rows each: a list as long as the number of parts
+    # ascending ranges of doc_id with about as many rows each: a list as long as the number of parts. A doc_id with more rows
+    # than a part is the end of several ranges; its rows are dealt to them by what they hold
     cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000).alias("q")).first().q if parts > 1 else []
-    shared = spark.sparkContext.broadcast((content, np.array(sorted(set(cuts or [])), dtype=np.int64)))
+    shared = spark.sparkContext.broadcast((content, np.array(sorted(cuts or []), dtype=np.int64)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -167,13 +176,15 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, end_id: int
         for b in batches:
             ids, at = b.column(0), 0
             keys = ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False)
-            part = np.searchsorted(edges, keys, side="left").astype(np.int32)
+            part = np.searchsorted(edges, keys, side="left")
+            ends = np.searchsorted(edges, keys, side="right") - part  # ranges that end with this key
             for texts in sliced(b.column(1).to_pylist()):
                 arrays = [x + end for x in enc.encode(texts)]
                 n = len(arrays)
                 counts = pa.array([len(x) // enc.type.itemsize for x in arrays], pa.int32())
                 frames = pa.array([packer.compress(x) for x in arrays], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.slice(at, n), pa.array(part[at : at + n]), counts, frames], names=["doc_id", "part", "n_tokens", "frame"])
+                own_part = np.array([p + zlib.crc32(x) % e if e > 1 else p for x, p, e in zip(arrays, part[at : at + n].tolist(), ends[at : at + n].tolist(), strict=True)], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([ids.slice(at, n), pa.array(own_part), counts, frames], names=["doc_id", "part", "n_tokens", "frame"])
                 at += n
 
     width = own.type.itemsize

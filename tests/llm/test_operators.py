@@ -198,7 +198,6 @@ def test_token_files(spark, docs, texts, tmp_path):
 
     path = tokenizer_path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     odd = {-1: "don't  stop\n\n\tit's½ ²x café\u0301 __a__ \u00a0 x\x1cy <|endoftext|>", -2: "", -3: " lead\n", -4: "日本語 1½ naïve"}
     tokenfile.write_token_files(docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(odd.items()), "doc_id bigint, text string")), f"file://{tmp_path}/t", tokenizer=path, parts=3)
     at, all_texts = 0, {**odd, **texts}
@@ -208,6 +207,17 @@ def test_token_files(spark, docs, texts, tmp_path):
         assert (found[d].start, found[d].n_tokens, found[d].ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes())), d
         at += len(ids)
     assert tokenfile.read_document(spark, f"file://{tmp_path}/t", -1) == [found[-1].ids]
+    assert 50256 in found[-1].ids  # the library gives an added token's string that token's id
+
+
+def test_a_hot_doc_id_is_split(spark, tmp_path):
+    rows = [(i, f"text {i}") for i in range(50)] + [(20, f"another text {i} of the hot one") for i in range(400)]
+    tokenfile.write_token_files(spark.createDataFrame(rows, "doc_id bigint, text string"), f"file://{tmp_path}/t", tokenizer=tokenizer_path("byte_bpe_50k.json"), parts=8)
+    blocks = spark.read.parquet(f"file://{tmp_path}/t/blocks").groupBy("part").agg({"n_docs": "sum"}).collect()
+    assert max(r[1] for r in blocks) < 200
+    found = sorted(tokenfile.read_token_files(spark, f"file://{tmp_path}/t").collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in found] == sorted(i for i, _ in rows)
+    assert [r.start for r in found] == [0, *itertools.accumulate(r.n_tokens for r in found)][:-1]
 
 
 # ---- 7
@@ -319,6 +329,27 @@ def test_url_rules_by_either_way(spark):
     assert {r[4] for r in urlfilter.judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_odd_urls(spark):
+    rules = spark.createDataFrame(queries.URL_RULES, urlfilter.RULE_SCHEMA)
+    long = "http://" + "a." * 20_000 + "net/de/" + "x" * 50_000
+    schema = "page_id bigint, url string, host string, path string, head string, start string, n string, h string, best string"
+    rows = [(1, None), (2, ""), (3, long), (4, long), (4, long), (None, "http://net/de/"), (6, "HTTP://X.NET"), (7, "://")]
+    pages = spark.createDataFrame([(*r, *["clash"] * 7) for r in rows], schema)
+    found = urlfilter.judge_urls(pages, rules).collect()
+    assert Counter((r.page_id, r.verdict) for r in found) == Counter([(1, "allow"), (2, "allow"), (3, "block"), (4, "block"), (4, "block"), (None, "block"), (6, "allow"), (7, "allow")])
+    assert {(r.host, r.path) for r in found if r.page_id in (1, 2, 7)} == {("", "")}
+    assert urlfilter.judge_urls(pages.limit(0), rules).collect() == []
+
+
+def test_hot_urls_by_shuffle_and_broadcast(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 5 and i}.com/en/{i}") for i in range(3000)]
+    pages, rules = spark.createDataFrame(rows, "page_id bigint, url string"), spark.createDataFrame(queries.URL_RULES, urlfilter.RULE_SCHEMA)
+    whole = sorted(map(tuple, urlfilter.judge_urls(pages, rules).collect()))
+    join = urlfilter.join_hot
+    monkeypatch.setattr(urlfilter, "join_hot", lambda *a: join(*a, most=50))  # above 60 rows a key is hot
+    assert sorted(map(tuple, urlfilter.judge_urls(pages, rules).collect())) == whole and len(whole) == 3000
+
+
 # ---- 9
 
 
@@ -336,6 +367,14 @@ def test_mix(spark, docs):
     assert sorted(map(tuple, mixing.mix(docs.repartition(3)).collect())) == sorted(map(tuple, found))
 
 
+def test_many_sources_are_mixed_alike(spark, monkeypatch):
+    rows = [(i, "w " * (1 + i % 97), f"s{min(i % 40, 30):02d}") for i in range(2000)] + [(10000, "w " * 5000, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = sorted(map(repr, mixing.mix(df).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(repr, mixing.mix(df).collect())) == found
+
+
 def test_mixed_documents_are_repeated(spark, docs):
     taken = {r.doc_id: r for r in mixing.mix(docs).collect()}
     times = Counter(r.doc_id for r in mixing.mixed_documents(docs).collect())
