@@ -7,6 +7,8 @@ import re
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,18 +122,29 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-#: Batches handed to kernels are cut at about this many bytes, so that memory doesn't depend on the length of texts.
+#: Bytes of a batch that goes to Python: few, as the JVM holds one for each running task, and so does its worker.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold batches for Python to ``BATCH_BYTES``, unless the session asks for less."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+#: Batches are handed to kernels in slices of about this many bytes, so that memory doesn't depend on the length of texts.
 SLICE_BYTES = 4 << 20
 
 
-def sliced(values: list, limit: int = SLICE_BYTES):
-    """Consecutive slices of a list of byte strings, each of about ``limit`` bytes (one longer value is a slice of its own)."""
+def sliced(column: pa.Array, limit: int = SLICE_BYTES):
+    """Consecutive values of a string or binary column as lists, each of about ``limit`` bytes (one longer value is a slice of its own)."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     start = total = 0
-    for i, v in enumerate(values):
-        size = len(v) if v else 0
+    for i, size in enumerate(sizes):
         if i > start and total + size > limit:
-            yield values[start:i]
+            yield column.slice(start, i - start).to_pylist()
             start, total = i, 0
         total += size
-    if start < len(values):
-        yield values[start:]
+    if start < len(sizes):
+        yield column.slice(start).to_pylist()

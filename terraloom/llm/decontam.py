@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, normal_words, sliced, stage
+from .common import ascii_lower, normal_words, sliced, small_batches, stage
 
 WINDOW = 8
 #: Items of more text than this are searched in several passes, each over a shard of the items.
@@ -168,7 +168,7 @@ def _matcher_udf(items: list[tuple[str, bytes | None]], spark):
         matcher = matcher_of(shared)
         for texts in batches:
             rows = []
-            for part in sliced(texts.cast(pa.binary()).to_pylist()):
+            for part in sliced(texts.cast(pa.binary())):
                 rows += [{"n_words": n, "hits": h, "items": i} for n, h, i in matcher.search(part)]
             yield pa.array(rows, type=kind)
 
@@ -182,6 +182,7 @@ def find_windows(docs: DataFrame, items: DataFrame, *, text: str = "text", item_
     only digests of texts with hits, and the hits, are written, and meet the documents by a broadcast if they are few.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     items = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.col(item_text).cast("string").cast("binary").alias("t")).where("t is not null")
     size = items.agg(F.sum(F.length("t") + 16)).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))

@@ -38,7 +38,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, filter_by, join_hot, sliced, stage, unstage
+from .common import WORD_BYTES, filter_by, join_hot, sliced, small_batches, stage, unstage
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Least probability that a pair at the threshold shares a bucket, wherever its buckets end.
@@ -145,7 +145,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         for b in batches:
             at = 0
-            for texts in sliced(b.column(2).to_pylist(), 1 << 20):
+            for texts in sliced(b.column(2), 1 << 18):
                 sets = shingle_sets(texts)
                 n = len(sets)
                 nodes = pa.array([node_of(s, t) for s, t in zip(sets, texts, strict=True)], pa.binary())
@@ -158,7 +158,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         for b in batches:
-            for texts in sliced(b.column(0).to_pylist(), 1 << 20):
+            for texts in sliced(b.column(0), 1 << 18):
                 sets = shingle_sets(texts)
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(s, t) for s, t in zip(sets, texts, strict=True)], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
 
@@ -425,6 +425,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """One row per document: doc_id, class_id (least doc_id of its class), n_links (other documents at the threshold or
     above), n_copies (documents with the same set), n_texts (other sets linked), h (a hash of its text), root (the name
     of its class)."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = stage(docs.select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("t")).mapInArrow(_sketches, "doc_id bigint, h bigint, node binary, sketch binary, size int"), "sketches")
     nodes = stage(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("size").alias("size")), "nodes")

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, sliced, tokenizer_path
+from .common import scratch_dir, sliced, small_batches, tokenizer_path
 
 #: Documents, chosen by a hash of doc_id, whose id arrays train the dictionary, and the bytes of each array that are looked at.
 DICTIONARY_SAMPLE, SAMPLE_BYTES = 1000, 16 << 10
@@ -147,6 +147,7 @@ def _dictionary(content: bytes) -> zstandard.ZstdCompressionDict | None:
 def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", parts: int | None = None, level: int = LEVEL) -> None:
     """Encode ``docs`` and write a token file to the folder ``path``."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     chosen = [r.doc_id for r in docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICTIONARY_SAMPLE).collect()]
@@ -156,7 +157,8 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, end_id: int
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([(x + end)[:SAMPLE_BYTES] for x in enc.encode(b.column(1).to_pylist())], pa.binary())], names=["doc_id", "ids"])
+            heads = [(x + end)[:SAMPLE_BYTES] for texts in sliced(b.column(1)) for x in enc.encode(texts)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(heads, pa.binary())], names=["doc_id", "ids"])
 
     # at most 2 * DICTIONARY_SAMPLE * SAMPLE_BYTES reach the driver
     sample = docs.where(F.col("doc_id").isin(chosen)).mapInArrow(heads, "doc_id bigint, ids binary").orderBy("doc_id", "ids").limit(2 * DICTIONARY_SAMPLE).collect() if chosen else []
@@ -178,7 +180,7 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, end_id: int
             keys = ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False)
             part = np.searchsorted(edges, keys, side="left")
             ends = np.searchsorted(edges, keys, side="right") - part  # ranges that end with this key
-            for texts in sliced(b.column(1).to_pylist()):
+            for texts in sliced(b.column(1)):
                 arrays = [x + end for x in enc.encode(texts)]
                 n = len(arrays)
                 counts = pa.array([len(x) // enc.type.itemsize for x in arrays], pa.int32())

@@ -39,10 +39,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILTER_KEYS, stage, unstage
+from .common import FILTER_KEYS, sliced, small_batches, stage, unstage
 
-#: Counts that a task holds before it hands them on.
-HELD = 200_000
+#: Counts that a task holds before it hands them on, and words whose entries it remembers.
+HELD, KNOWN = 100_000, 20_000
 #: Learned entries, at most; those looked at when they are chosen; the least number of toxic rows that have one.
 ENTRIES, TELLING, LEAST = 400, 20_000, 3
 #: One in so many clean rows rules out most entries before all clean rows are counted.
@@ -226,6 +226,10 @@ class Grammar:
         self.threats = frozenset(w for w, c in self.classes.items() if c == "H")
         self.targets = frozenset(w for w, c in self.classes.items() if c == "T")
 
+        # what a word must start with to have a learned beginning
+        self.head = self.lengths[0] if self.lengths else 0
+        self.heads = frozenset(b[: self.head] for b in self.beginnings)
+
     def weight(self, word: str) -> float:
         w = self.words.get(word, 0.0)
         for n in self.lengths:
@@ -234,6 +238,11 @@ class Grammar:
             w = max(w, self.beginnings.get(word[:n], 0.0))
         return w
 
+    def insults(self, words: set[str]) -> set[str]:
+        """The words that have a weight."""
+        n, heads, known = self.head, self.heads, self.words
+        return {w for w in words if (w in known or w[:n] in heads) and self.weight(w)}
+
     def readings(self, word: str) -> list[tuple[str, float]]:
         """What a word can be read as."""
         if word in QUOTES:
@@ -265,7 +274,8 @@ class Grammar:
     def clauses(self, text: str | None) -> Iterator[tuple[int, int, float]]:
         """(start, end, weight) of each clause that has words; code points of the lowered text."""
         lowered = (text or "").lower()
-        hot = {w for w in set(WORD.findall(lowered)) if w in self.threats or self.weight(w)}
+        words = set(WORD.findall(lowered))
+        hot = self.insults(words) | (words & self.threats)
         odd, start = False, 0
         for end, after in [*(m.span() for m in CLAUSE.finditer(lowered)), (len(lowered), len(lowered))]:
             found = SYMBOL.findall(lowered, start, end)
@@ -282,7 +292,7 @@ class Grammar:
         if not text:
             return 0.0, 0.0, 0.0
         words = set(WORD.findall(text.lower()))
-        if not any(map(self.weight, words)) and (words.isdisjoint(self.threats) or words.isdisjoint(self.targets)):
+        if not self.insults(words) and (words.isdisjoint(self.threats) or words.isdisjoint(self.targets)):
             return 0.0, 0.0, 0.0
         weights = [w for _, _, w in self.clauses(text)]
         return max(weights, default=0.0), math.log1p(sum(weights)), sum(w > 0 for w in weights) / max(len(weights), 1)
@@ -299,53 +309,48 @@ def _entries(text: str) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in PREFIX if n < len(w)}
 
 
-def _counts(update) -> object:
-    """A function for ``mapInArrow`` on (t, y): ``update(counter, text, label)`` counts keys (tuples of column values), which are handed on with their counts."""
-
-    def run(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], types: tuple[pa.DataType, ...]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def out():
-            columns = list(zip(*((*k, n) for k, n in held.items()), strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*types, pa.int64()), strict=True)], names=[*names, "n"])
-
-        for b in batches:
-            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                update(held, text or "", label)
-                if len(held) >= HELD:
-                    yield out()
-                    held.clear()
-        if held:
-            yield out()
-
-    return run
+def _labelled(b: pa.RecordBatch):
+    """(text, label) of the rows of (t, y), without holding all texts at once."""
+    labels = iter(b.column(1).to_pylist())
+    for texts in sliced(b.column(0)):
+        for t in texts:
+            yield t or "", next(labels)
 
 
-def _counted(rows: DataFrame, only: dict[str, int] | None = None) -> DataFrame:
-    """e, toxic, clean: rows that have each entry, of ``only`` these entries if given (small: it is broadcast)."""
+def _counted(rows: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
+    """e, toxic, clean: rows that have each entry, of ``only`` these entries if given (few: they are broadcast)."""
     shared = rows.sparkSession.sparkContext.broadcast(only)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple] = {}
         wanted = shared.value
+        held = Counter(), Counter()
 
-        def update(held: Counter, text: str, label: int) -> None:
-            entries: set = set()
-            for w in set(WORD.findall(text.lower())):
-                own = known.get(w)
-                if own is None:
-                    if len(known) >= HELD:
-                        known.clear()
-                    own = (w, *(w[:n] + "*" for n in PREFIX if n < len(w)))
-                    own = known[w] = own if wanted is None else tuple(e for e in own if e in wanted)
-                if own:
-                    entries.update(own)
-            held.update([(e, int(label != 0)) for e in entries])
+        def out():
+            every = list(held[0].keys() | held[1].keys())
+            clean, toxic = ([h[e] for e in every] for h in held)
+            return pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array(toxic, pa.int64()), pa.array(clean, pa.int64())], names=["e", "toxic", "clean"])
 
-        yield from _counts(update)(batches, ("e", "y"), (pa.string(), pa.int32()))
+        for b in batches:
+            for text, label in _labelled(b):
+                entries: set = set()
+                for w in set(WORD.findall(text.lower())):
+                    own = known.get(w)
+                    if own is None:
+                        if len(known) >= KNOWN:
+                            known.clear()
+                        own = (w, *(w[:n] + "*" for n in PREFIX if n < len(w)))
+                        own = known[w] = own if wanted is None else tuple(e for e in own if e in wanted)
+                    if own:
+                        entries.update(own)
+                held[label != 0].update(entries)
+                if len(held[0]) + len(held[1]) >= HELD:
+                    yield out()
+                    held[0].clear()
+                    held[1].clear()
+        yield out()
 
-    of = lambda y: F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0))
-    return rows.mapInArrow(count, "e string, y int, n bigint").groupBy("e").agg(of(1).alias("toxic"), of(0).alias("clean"))
+    return rows.mapInArrow(count, "e string, toxic bigint, clean bigint").groupBy("e").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def _tells(n_toxic: int, n_clean: int):
@@ -369,7 +374,7 @@ def _telling(rows: DataFrame, n_toxic: int, n_clean: int, most: int = TELLING, b
         return []
     rest = rows.where(~first)
     few = n <= broadcast
-    more = _counted(rest, dict.fromkeys((r.e for r in open_.select("e").collect()), 1) if few else None).select("e", F.col("clean").alias("more"))
+    more = _counted(rest, frozenset(r.e for r in open_.select("e").collect()) if few else None).select("e", F.col("clean").alias("more"))
     joined = open_.join(F.broadcast(more) if few else more, "e", "left")
     whole = joined.select("e", "toxic", (F.col("clean") + F.coalesce("more", F.lit(0))).alias("clean"))
     told = whole.where(tells).select("e", "toxic", odds.alias("odds")).orderBy((F.col("toxic") * F.col("odds")).desc(), "e").limit(most).collect()
@@ -384,7 +389,7 @@ def _explaining(rows: DataFrame, told: list[tuple[str, int, float]], most: int)
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.value
         for b in batches:
-            own = [sorted(rank[e] for e in _entries(t or "") if e in rank) for t in b.column(0).to_pylist()]
+            own = [sorted(rank[e] for e in _entries(t) if e in rank) for t, _ in _labelled(b)]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32()))], names=["own"])
 
     open_ = stage(rows.where("y <> 0").mapInArrow(places, "own array<int>"), "explained")
@@ -425,12 +430,20 @@ def _fitted(rows: DataFrame, grammar: Grammar) -> tuple[float, ...]:
     shared = rows.sparkSession.sparkContext.broadcast(grammar)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = shared.value
+        g, held = shared.value, Counter()
 
-        def update(held: Counter, text: str, label: int) -> None:
-            held[(*g.features(text), float(label != 0))] += 1
+        def out():
+            columns = list(zip(*((*k, n) for k, n in held.items()), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*(pa.float64(),) * 4, pa.int64()), strict=True)], names=["x1", "x2", "x3", "y", "n"])
 
-        yield from _counts(update)(batches, ("x1", "x2", "x3", "y"), (pa.float64(),) * 4)
+        for b in batches:
+            for text, label in _labelled(b):
+                held[(*g.features(text), float(label != 0))] += 1
+                if len(held) >= HELD:
+                    yield out()
+                    held.clear()
+        if held:
+            yield out()
 
     x = stage(rows.mapInArrow(count, "x1 double, x2 double, x3 double, y double, n bigint"), "features")
     names = ["x0", "x1", "x2", "x3"]
@@ -446,7 +459,9 @@ def _fitted(rows: DataFrame, grammar: Grammar) -> tuple[float, ...]:
             square[i, j] = square[j, i] = v
         return square, np.array(r[len(pairs) :])
 
-    return logistic(sums, 4)
+    found = logistic(sums, 4)
+    unstage(x)
+    return found
 
 
 def logistic(sums, n: int, ridge: float = 0.05, rounds: int = 50) -> tuple[float, ...]:
@@ -470,6 +485,7 @@ def held_out(doc_id):
 
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Grammar:
     """Learn a grammar from all labelled rows that aren't held out."""
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("y").isNotNull()).distinct()
     few = known.count() <= FILTER_KEYS  # ids and labels
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t"))
@@ -486,7 +502,7 @@ def scorer(grammar: Grammar, spark):
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         g = shared.value
         for b in batches:
-            yield pa.array([g.score(t) for t in b.to_pylist()], type=pa.float64())
+            yield pa.array([g.score(t) for texts in sliced(b) for t in texts], type=pa.float64())
 
     return score
 
