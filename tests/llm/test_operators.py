@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -177,6 +178,35 @@ def test_merkle_edits(spark, docs, texts):
     assert np.median([r.near_edited for r in found.values()]) > 0.5 > np.quantile([r.near_next for r in found.values()], 0.9)
 
 
+def plain_tree(text):
+    """The fingerprint, and its leaves with their lengths, in plain Python."""
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()[:32]
+    named = lambda x: digest(x) + ":" + x
+    leaf = re.compile(r"(?s)[^.!?;|]{1,60}[.!?;|]{0,60}\s?|[.!?;|]{1,60}\s?")
+    own = {}
+
+    def paragraph(p):
+        found = leaf.findall(p)
+        own.update((x, len(x)) for x in found)
+        assert "".join(found) == p
+        return named(",".join(f"{digest(x)}.{len(x)}" for x in found))
+
+    sections = "/".join(named(";".join(map(paragraph, s.split("\n")))) for s in text.split("\n\n"))
+    return digest(sections) + "|" + sections, own
+
+
+def test_merkle_against_plain_trees(spark, docs, texts):
+    ids = sorted(texts)
+    found = {r.doc_id: r for r in merkle.compare_edits(docs).collect()}
+    like = lambda a, b: 1.0 if a == b else sum(a[1][x] for x in a[1].keys() & b[1].keys()) / max(1, sum({**a[1], **b[1]}.values()))
+    trees = {d: plain_tree(t) for d, t in texts.items()}
+    for d, after in zip(ids, ids[1:] + ids[:1], strict=True):
+        t, k, r = texts[d], len(texts[d]) // 4, found[d]
+        edited = plain_tree(t[: len(t) - k] + texts[after][:k])
+        assert (r.fingerprint, r.edited_fingerprint) == (trees[d][0], edited[0])
+        assert r.near_edited == pytest.approx(like(trees[d], edited)) and r.near_next == pytest.approx(like(trees[d], trees[after]))
+
+
 def test_merkle_branches(spark):
     a, b = "One. Two.\nThree.\n\nFour.\nFive.", "One. Two.\nThree.\n\nFour.\nSix."
     r = spark.createDataFrame([(a, b)], "a string, b string").select(merkle.fingerprint(merkle.F.col("a")).alias("a"), merkle.fingerprint(merkle.F.col("b")).alias("b"))
