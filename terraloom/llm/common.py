@@ -107,6 +107,23 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Entries of an array that are summed at once by ``sums_before``.
+SUM_RUN = 64
+
+
+def sums_before(lengths: Column) -> Column:
+    """For each entry of an array of numbers, the sum of the entries before it: within runs, over the sums of runs."""
+    runs = F.sequence(F.lit(0), ((F.size(lengths) - 1) / SUM_RUN).cast("int"))
+    add = lambda values: F.aggregate(values, F.lit(0), lambda a, x: a + x)
+    own = lambda r: F.slice(lengths, r * SUM_RUN + 1, F.lit(SUM_RUN))
+
+    def summed(totals: Column) -> Column:
+        within = lambda r: let(F.struct(add(F.slice(totals, F.lit(1), r)).alias("b"), own(r).alias("v")), lambda t: F.transform(t["v"], lambda _, i: t["b"] + add(F.slice(t["v"], F.lit(1), i))))
+        return F.flatten(F.transform(runs, within))
+
+    return F.when(F.size(lengths) == 0, F.array().cast("array<int>")).otherwise(let(F.transform(runs, lambda r: add(own(r))), summed))
+
+
 def normal_words(text: bytes | None) -> list[bytes]:
     """Lower-cased words of a UTF-8 text: runs of ASCII letters, digits and any non-ASCII characters."""
     return text.translate(WORD_BYTES).split() if text else []

@@ -9,16 +9,18 @@ four tests of the hypothesis "characters are drawn uniformly and independently"
 * runs above and below the alphabet's middle;
 * serial correlation at lag one;
 * likelihood: the log odds of a model of text (letter frequencies; digits, capitals and small letters stay together)
-  against the hypothesis, summed over neighbouring characters, one-sided. It tells text from 20 characters on, in each encoding.
-
-The least of the four, times four, is the token's p-value. Runs of 20 and more letters and digits within a longer token (behind
-a path or a prefix with _) are tokens of their own, reported if the longer one isn't. Within bands of encoding and length, the Benjamini-Hochberg step-up
-over all tokens of the corpus tells which tokens are *not* random; those left are random as far as tests of their length can
-tell. A token is only judged if it has
+  against the hypothesis, summed over neighbouring characters, one-sided.
+
+A token that the battery rejects as random (the least of the four, times four, below ``ALPHA``) is no secret. For the others, the
+hypothesis is that they are *text*: their p-value is the probability that the text model gives log odds as low as theirs
+(a normal distribution with the chain's mean and long-run variance, wider by ``SPREAD``, as tokens vary more than a chain). Within bands of encoding and
+length, the Benjamini-Hochberg step-up over all tokens of the corpus (rejected ones with a p-value of 1) tells which aren't text: of
+those reported, a share of ``FDR`` at most is expected to be text. Runs of 20 and more letters and digits within a longer token (behind
+a path or a prefix with _) are tokens of their own, reported if the longer one isn't. A token is only judged if it has
 a digit and a letter. P-values are counted in bins (bands times bins: a small table), so that the step-up needs no ranking of the corpus.
 
-Only DataFrame functions are used. Defined results: a null text is empty and has no spans; repeated rows are judged one by one,
-and each counts in the step-up; an empty table gives an empty result. Positions are code points, end exclusive. A random token that overlaps a base span is dropped.
+Only DataFrame functions are used. Defined results: a null text is empty and has no spans; very long texts are scanned whole; repeated rows are judged one by one,
+and each counts in the step-up, as do ties; an empty table gives an empty result. Positions are code points, end exclusive. A random token that overlaps a base span is dropped.
 Extra columns are ignored.
 """
 
@@ -26,10 +28,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, stage
+from .common import let, stage, sums_before
 
 # The base patterns and what their matches must have.
 ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -45,7 +48,10 @@ ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234
 #: The model of text: letters by hundredths (1 at least), and how likely the next character is of the same class.
 LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 1.0, 1.0, 4.0, 2.4, 6.7, 7.5, 1.9, 1.0, 6.0, 6.3, 9.1, 2.8, 1.0, 2.4, 1.0, 2.0, 1.0), strict=True))
 STAY = 0.85
-FDR = 0.05
+#: How much wider than the model's the log odds of real text are: paths and identifiers of many styles are base64 by their characters.
+SPREAD = {"hex": 1.0, "base32": 1.1, "base64": 1.25}
+#: Share of text among the tokens reported, and the p-value below which a token isn't random.
+FDR, ALPHA = 0.05, 0.001
 #: P-values are counted in steps of a tenth of a power of ten, down to 10^-30.
 STEPS, LOWEST = 10, 30
 #: Lower edges of the length bands.
@@ -56,14 +62,13 @@ def matches(text: Column, pattern: str) -> Column:
     """array<struct<s, e, m>> of leftmost matches of a pattern without groups: gaps and matches add up to positions."""
     both = rf"(?s)(.*?)({pattern}|\z)"
     gaps, found = F.regexp_extract_all(text, F.lit(both), F.lit(1)), F.regexp_extract_all(text, F.lit(both), F.lit(2))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
+    pairs = F.arrays_zip(gaps.alias("g"), found.alias("m"))
 
-    def step(t: Column, p: Column) -> Column:
-        s = t["at"] + F.length(p["g"])
-        e = s + F.length(p["m"])
-        return F.struct(e.alias("at"), F.when(e > s, F.concat(t["out"], F.array(F.struct(s.alias("s"), e.alias("e"), p["m"].alias("m"))))).otherwise(t["out"]).alias("out"))
+    def placed(p: Column) -> Column:
+        ends = let(F.transform(p, lambda x: F.length(x["g"]) + F.length(x["m"])), sums_before)
+        return F.filter(F.zip_with(p, ends, lambda x, at: let(at + F.length(x["g"]), lambda s: F.struct(s.alias("s"), (s + F.length(x["m"])).alias("e"), x["m"].alias("m")))), lambda x: x["e"] > x["s"])
 
-    return F.aggregate(F.arrays_zip(gaps.alias("g"), found.alias("m")), start, step, lambda t: t["out"])
+    return let(pairs, placed)
 
 
 def _spans(text: Column, pattern: str, kind: int, guard: str, keep=None) -> Column:
@@ -116,12 +121,35 @@ def text_model(name: str) -> tuple[list[float], float, float, float, float, floa
     return own, stay, leave, mean, variance, sum(x * y for x, y in zip(ahead, behind, strict=True)) / k - mean**2
 
 
+def text_odds(name: str) -> tuple[float, float]:
+    """Mean and long-run variance of a pair's log odds under the model of text (a stationary chain; classes are left for each other alike)."""
+    alphabet = ALPHABETS[name]
+    own, stay, leave, *_ = text_model(name)
+    classes = sorted({_class(c) for c in alphabet})
+    often = np.array([1.0 if name == "hex" else LETTERS.get(c.lower(), 10.0) for c in alphabet])
+    kind = np.array([_class(c) for c in alphabet])
+    within = often / np.array([often[kind == k].sum() for k in kind])
+    same = kind[:, None] == kind[None, :]
+    chain = np.where(same, STAY, (1 - STAY) / (len(classes) - 1)) * within
+    always = within / len(classes)
+    score = np.array(own)[None, :] + np.where(same, stay, leave)
+    mean = float((always[:, None] * chain * score).sum())
+    off = score - mean
+    variance = float((always[:, None] * chain * off**2).sum())
+    into, ahead = (always[:, None] * chain * off).sum(axis=0), (chain * off).sum(axis=1)
+    for _ in range(60):  # covariances with later pairs die out as classes are left
+        variance += 2 * float(into @ ahead)
+        ahead = chain @ ahead
+    return mean, variance
+
+
 def _parameters(enc: Column) -> Column:
     """Struct of what the tests need of an encoding."""
     out, at = None, 0
     for name, alphabet in ALPHABETS.items():
         _, stay, leave, mean, variance, cov = text_model(name)
-        values = {"alphabet": alphabet, "k": float(len(alphabet)), "at": at, "stay": stay, "leave": leave, "mean": mean, "variance": variance, "cov": cov}
+        text_mean, text_variance = text_odds(name)
+        values = {"alphabet": alphabet, "k": float(len(alphabet)), "at": at, "stay": stay, "leave": leave, "mean": mean, "variance": variance, "cov": cov, "text_mean": text_mean, "text_sd": SPREAD[name] * math.sqrt(text_variance)}
         one = F.struct(*[F.lit(v).alias(n) for n, v in values.items()])
         out = F.when(enc == name, one) if out is None else out.when(enc == name, one)
         at += len(alphabet)
@@ -129,7 +157,7 @@ def _parameters(enc: Column) -> Column:
 
 
 def _p_value(plain: Column, enc: Column) -> Column:
-    """Least of four p-values, times four, of a token in its encoding."""
+    """The p-value of a token under the hypothesis that it is text; 1 if the battery rejects that it is random."""
     return let(F.struct(plain.alias("m"), _parameters(enc).alias("p")), lambda t: let(F.transform(F.filter(F.split(t["m"], "", -1), lambda c: c != ""), lambda c: F.instr(t["p"]["alphabet"], c) - 1), lambda ranks: _least(ranks, t["p"])))
 
 
@@ -169,7 +197,8 @@ def _least(ranks: Column, p: Column) -> Column:
         runs_p = 2 * tail(F.abs(w["runs"] - mean) / F.sqrt(spread))
         serial_p = 2 * tail(F.abs(w["cross"] / F.greatest(w["square"], F.lit(1e-9))) * F.sqrt(n))
         odds_p = tail((w["odds"] - (n - 1) * p["mean"]) / F.sqrt((n - 1) * p["variance"] + 2 * (n - 2) * p["cov"]))
-        return F.least(F.lit(1.0), 4 * F.least(chi_p, runs_p, serial_p, odds_p))
+        text_p = tail(((n - 1) * p["text_mean"] - w["odds"]) / (F.sqrt(n - 1) * p["text_sd"]))
+        return F.when(4 * F.least(chi_p, runs_p, serial_p, odds_p) < ALPHA, F.lit(1.0)).otherwise(text_p)
 
     return let(walked, judged)
 
@@ -185,7 +214,7 @@ def _tested(tokens: Column) -> Column:
 
 
 def step_up(counts: list[tuple[str, int, int]], fdr: float = FDR) -> dict[str, int]:
-    """By band, the least bin whose tokens are rejected as random by the Benjamini-Hochberg step-up (a bin's p-values count as its upper edge)."""
+    """By band, the least bin whose tokens are rejected as text by the Benjamini-Hochberg step-up (a bin's p-values count as its upper edge)."""
     out: dict[str, int] = {}
     for band in {b for b, _, _ in counts}:
         own = sorted(((k, n) for b, k, n in counts if b == band), reverse=True)
@@ -210,7 +239,7 @@ def scan_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     # bands and bins: at most 30 times 301 rows
     counts = [(r.band, r.bin, r["count"]) for r in found.select(F.explode("tests").alias("t")).groupBy(F.col("t.band").alias("band"), F.col("t.bin").alias("bin")).count().collect()]
     cuts = step_up(counts)
-    random = lambda m: F.coalesce(*[F.when(m["band"] == b, m["bin"] < k) for b, k in sorted(cuts.items())], F.lit(False))
+    random = lambda m: F.coalesce(*[F.when(m["band"] == b, m["bin"] >= k) for b, k in sorted(cuts.items())], F.lit(False))
     chosen = F.filter("tests", random)
     # a piece of a token that is reported isn't reported again
     longest = F.filter(chosen, lambda m: ~F.exists(chosen, lambda w: (w["s"] <= m["s"]) & (m["e"] <= w["e"]) & (w["e"] - w["s"] > m["e"] - m["s"])))

@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -139,6 +140,53 @@ def test_random_tokens_behind_names_and_short_ones(spark):
     assert not any("random" in r.spans for r in secret_scan.scan_secrets(spark.createDataFrame(list(enumerate(plain)), "doc_id bigint, text string")).collect())
 
 
+def plain_p_value(token, enc):
+    """The battery and the text model's p-value in plain Python."""
+    alphabet = secret_scan.ALPHABETS[enc]
+    own, stay, leave, mean, variance, cov = secret_scan.text_model(enc)
+    r, k, n = [alphabet.index(c) for c in token], len(alphabet), len(token)
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    chi, d = sum(c * c for c in Counter(r).values()) * k / n - n, k - 1
+    chi_p = tail(((max(chi, 1e-9) / d) ** (1 / 3) - (1 - 2 / (9 * d))) / math.sqrt(2 / (9 * d)))
+    middle = (k - 1) / 2
+    runs = 1 + sum((a > middle) != (b > middle) for a, b in itertools.pairwise(r))
+    high = sum(x > middle for x in r)
+    expected = 2 * high * (n - high) / n + 1
+    runs_p = 2 * tail(abs(runs - expected) / math.sqrt(max((expected - 1) * (expected - 2) / (n - 1), 1e-9)))
+    cross, square = sum((a - middle) * (b - middle) for a, b in itertools.pairwise(r)), sum((x - middle) ** 2 for x in r)
+    serial_p = 2 * tail(abs(cross / max(square, 1e-9)) * math.sqrt(n))
+    kind = secret_scan._class
+    odds = sum(own[b] + (stay if kind(alphabet[a]) == kind(alphabet[b]) else leave) for a, b in itertools.pairwise(r))
+    odds_p = tail((odds - (n - 1) * mean) / math.sqrt((n - 1) * variance + 2 * (n - 2) * cov))
+    text_mean, text_variance = secret_scan.text_odds(enc)
+    return 1.0 if 4 * min(chi_p, runs_p, serial_p, odds_p) < secret_scan.ALPHA else tail(((n - 1) * text_mean - odds) / math.sqrt((n - 1) * text_variance) / secret_scan.SPREAD[enc])
+
+
+def test_p_values_against_plain_python(spark):
+    rng, F = random.Random(8), secret_scan.F
+    rows = [("".join(rng.choice(a) for _ in range(rng.randrange(20, 90))), e) for e, a in secret_scan.ALPHABETS.items() for _ in range(40)]
+    rows += [("lib/python3/site/packages", "base64"), ("a1" * 40, "hex"), ("INVOICENUMBERFORCLIENT25", "base32"), ("a" * 30, "base64")]
+    for r in spark.createDataFrame(rows, "t string, e string").select("t", "e", secret_scan._p_value(F.col("t"), F.col("e")).alias("p")).collect():
+        assert r.p == pytest.approx(plain_p_value(r.t, r.e), rel=0.02, abs=1e-7), r.t
+
+
+def test_planted_tokens_are_added_and_text_is_not(spark):
+    rng = random.Random(9)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    names = ["user_profile_image_2019_11_05_final", "com/example/app/MainActivity2", "node_modules/lodash4/fp/_mapping", "section4subsection12paragraph3", "getUserAccountInformationV2", "x86_64-unknown-linux-gnu"]
+    rows = [(i, "see " + (names[i % 6] + f"{i}" if i % 3 else "".join(rng.choice(alnum) for _ in range(rng.randrange(24, 44)))) + " for more") for i in range(600)]
+    found = {r.doc_id: r.spans for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    planted = sum(found[i] == f"random:4:{len(t) - 9}" for i, t in rows if i % 3 == 0)
+    false = sum(bool(found[i]) for i, _ in rows if i % 3)
+    assert planted >= 180 and false <= 0.05 * (planted + false) + 3
+
+
+def test_positions_of_very_many_matches(spark):
+    text = "".join(f"é{i % 10} " + "0123456789abcdef" * 2 + "\n" for i in range(3000))
+    r = secret_scan.scan_secrets(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert r.n_hex == 3000 and r.base_sha256 == sha(brute.secrets(text))
+
+
 # ---- 3
 
 
@@ -154,6 +202,38 @@ def test_licenses(spark, docs, texts):
     assert 1 - (1 - 0.3) ** license_scan.bands_needed(0.3) >= license_scan.FOUND
 
 
+def test_license_recall_over_all_windows(spark, monkeypatch):
+    """Copies altered at random, against the exact containment of each template in each window of each text."""
+    rng, F = random.Random(6), license_scan.F
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    triples = lambda t: [tuple(x) for x in zip(*(w[k:] for k in range(3)))] if len(w := word.findall(t.translate(brute.LOW))) >= 3 else []
+    rows, names = [], sorted(license_scan.TEMPLATES)
+    for i in range(400):
+        w = license_scan.TEMPLATES[names[i % len(names)]].split()
+        for _ in range(rng.randrange(0, 1 + len(w) // 12)):
+            w[rng.randrange(len(w))] = f"q{rng.randrange(10**6)}"
+        rows.append((i, " ".join([f"a{rng.randrange(10**6)}" for _ in range(rng.randrange(150))] + w + [f"b{rng.randrange(10**6)}" for _ in range(rng.randrange(150))])))
+    own = {n: set(triples(t)) for n, t in license_scan.TEMPLATES.items()}
+    templates = spark.createDataFrame([(len(t),) for t in own.values()], "n int").select(F.expr("sequence(1, n)").alias("t"))
+    strides = {end: stride for end, stride, _ in license_scan.length_classes(templates, 0.8, 0.99)}
+    want = set()
+    for i, t in rows:
+        h = triples(t)
+        for n, x in own.items():
+            stride = strides[min(c for c in license_scan.CLASSES if len(x) <= c)]
+            if any(len(x & set(h[s : s + 2 * stride])) >= 0.8 * len(x) for s in range(0, max(1, len(h)), stride)):
+                want.add((i, n))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    of = lambda found: {(r.doc_id, x.rsplit(":", 1)[0]) for r in found.collect() for x in r.licenses.split(",") if x}
+    found = of(license_scan.scan_licenses(df))
+    assert found <= want and len(found) >= 0.99 * len(want) > 200
+    monkeypatch.setattr(license_scan, "FILTER_KEYS", 0)
+    monkeypatch.setattr(license_scan, "BROADCAST_SHINGLES", 0)
+    assert of(license_scan.scan_licenses(df)) == found
+    none = spark.createDataFrame([(None, "x"), ("short", "two words"), ("null", None)], license_scan.TEMPLATE_SCHEMA)
+    assert {(r.n_licenses, r.licenses, r.best) for r in license_scan.scan_licenses(df, none).collect()} == {(0, "", None)}
+
+
 def test_licenses_with_words_inserted_at_any_place(spark):
     mit = license_scan.TEMPLATES["MIT"].split()
     # words inserted at four places break eight shingles of some sixty, and make the copy longer than the template
