@@ -92,14 +92,41 @@ def test_weak_supervision_accepts_what_labelers_back(spark):
     assert soft["5|++++0|1"] > 0.9 > 0.1 > soft["5|-0-0-|1"] and np.allclose(like.sum(axis=2), 1)
 
 
+def test_planted_personal_data_is_added_and_look_alikes_are_not(spark):
+    rng = random.Random(4)
+    n = lambda a, b: rng.randrange(a, b)
+    good = [
+        lambda: ("ssn", f"her social security number {n(100, 660)}-{n(10, 99)}-{n(1000, 9999)} is on file, mail a{n(1, 999)}@mail.example.com"),
+        lambda: ("national_phone", f"call {rng.choice(['us', 'me'])} by phone: ({n(200, 999)}) {n(200, 999)}-{n(1000, 9999)}"),
+        lambda: ("spelled_email", f"contact bob{n(1, 99)} at example{n(1, 9)} dot com for help"),
+        lambda: ("name", f"the patient {rng.choice(['Maria', 'Peter', 'Anna', 'Hans'])} {rng.choice(['Keller', 'Smith', 'Novak', 'Ortega'])} was seen"),
+    ]
+    bad = [
+        lambda: ("ssn", f"part number 000-{n(10, 99)}-0000 section {n(1, 9)}"),
+        lambda: ("national_phone", f"order no {n(200, 999)}-{n(200, 999)}-1111 and version {n(1, 9)}"),
+    ]
+    made = [rng.choice(good)() + (True,) if i % 3 else rng.choice(bad)() + (False,) for i in range(900)]
+    found = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(made)], "doc_id bigint, text string")).collect()}
+    hit = [k in found[i] for i, (k, _, _) in enumerate(made)]
+    assert np.mean([h for h, (_, _, y) in zip(hit, made, strict=True) if y]) > 0.9
+    assert np.mean([h for h, (_, _, y) in zip(hit, made, strict=True) if not y]) < 0.1
+
+
+def test_the_classifier_sees_the_surroundings():
+    rows = [(pii.features(f"call {x} now", 5, 5, 17), 0.95, 1.0) for x in ["212-555-0100", "313-555-0199"]] + [(pii.features(f"item {x} lot", 5, 5, 17), 0.05, 1.0) for x in ["212-555-0100", "313-555-0199"]]
+    w = pii.train(rows)
+    assert w[pii.features("call 414-555-0123 now", 5, 5, 17)].sum() > 0 > w[pii.features("item 414-555-0123 lot", 5, 5, 17)].sum()
+    assert pii._overlaps([(0, 100), (5, 6), (7, 8), (9, 10), (11, 12), (13, 14)], 100, 50, 60) and not pii._overlaps([(0, 3), (70, 80)], 10, 3, 70)
+
+
 def test_company_is_exact_in_long_documents():
     line = "please call our phone line at (212) 555-0142 or mail x@mail.example.com today" + "." * 400 + "\n"
     alone, many = pii.scan(line), pii.scan(line * 3000)
-    assert len(many["more"]) == 3000 and {m["v"] for m in many["more"]} == {m["v"] for m in alone["more"]} == {"+0++0"}
-    assert set(many["votes"]) == set(alone["votes"])
+    assert len(many["more"]) == 3000 and {m["p"] for m in many["more"]} == {m["p"] for m in alone["more"]} == {"5|+0++0|1"}
+    assert set(many["patterns"]) == set(alone["patterns"])
     found = pii.scan("\n".join(f"x{i}@a.example.com" + "." * (i % 7 * 50) for i in range(500)))
     starts = [m["s"] for m in found["base"]]
-    assert [v.split("|")[1][3] for v in found["votes"]] == ["+" if any(0 < abs(o - s) <= 200 for o in starts) else "0" for s in starts]
+    assert [v.split("|")[1][3] for v in found["patterns"]] == ["+" if any(0 < abs(o - s) <= 200 for o in starts) else "0" for s in starts]
 
 
 def test_secrets_against_brute_force(spark, docs, texts):
