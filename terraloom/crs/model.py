@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from ..formats import CSV, FLATGEOBUF, GEOPACKAGE, GEOPARQUET, KML, KMZ, SHAPEFILE, WKT, Format, GEOJSON
 from .definitions import parse_wkt, projjson_of_wkt, wkt_id, wkt_of_projjson
 
 # Words that open a WKT definition.
-WKT_WORDS = ("GEOGCS", "PROJCS", "GEOCCS", "VERT_CS", "COMPD_CS", "LOCAL_CS", "GEOGCRS", "GEODCRS", "PROJCRS", "VERTCRS", "COMPOUNDCRS", "ENGCRS", "GEODETICCRS", "GEOGRAPHICCRS", "PROJECTEDCRS", "BOUNDCRS")
+WKT_WORDS = ("GEOGCS", "PROJCS", "GEOCCS", "VERT_CS", "COMPD_CS", "LOCAL_CS", "GEOGCRS", "GEODCRS", "PROJCRS", "VERTCRS", "COMPOUNDCRS", "ENGCRS", "GEODETICCRS", "GEOGRAPHICCRS", "PROJECTEDCRS", "BOUNDCRS", "TIMECRS", "PARAMETRICCRS", "DERIVEDPROJCRS")
 
 
 @dataclass(frozen=True)
@@ -98,18 +98,9 @@ class Crs:
             return None if self.as_wkt() else f"no WKT of {name} is known; no .prj is written"
         return None
 
-    def to_json(self) -> str:
-        return json.dumps({k: v for k, v in self.__dict__.items() if v})
-
-    @staticmethod
-    def from_json(text: str) -> Crs:
-        return Crs(**json.loads(text))
-
-    def with_definition(self, **parts) -> Crs:
-        return replace(self, **parts)
-
 
 WGS84 = Crs(wgs84=True)
+# Fixed value: the definition of EPSG:4326 in the public EPSG registry, as well-known text of the first kind.
 WGS84_WKT = 'GEOGCS["WGS 84",DATUM["WGS_1984",SPHEROID["WGS 84",6378137,298.257223563,AUTHORITY["EPSG","7030"]],AUTHORITY["EPSG","6326"]],PRIMEM["Greenwich",0,AUTHORITY["EPSG","8901"]],UNIT["degree",0.0174532925199433,AUTHORITY["EPSG","9122"]],AUTHORITY["EPSG","4326"]]'
 
 

@@ -121,7 +121,7 @@ def csv_kind(cell: Column) -> Column:
     return (
         F.when(cell.isNull() | (cell == ""), "null")
         .when(F.lower(cell).isin("true", "false"), "bool")
-        .when(cell.rlike(r"^[+-]?\d{1,18}$"), "int")
+        .when(cell.rlike(r"^[+-]?\d+$") & F.ltrim(cell, F.lit("+")).try_cast("bigint").isNotNull(), "int")
         .when(cell.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), "double")
         .otherwise("string")
     )
@@ -151,6 +151,10 @@ def visible(text: str) -> str:
     return "".join(out)
 
 
+def visible_column(text: Column) -> Column:
+    return _mapped(visible, "string", pa.string())(text)
+
+
 @cache
 def gpb_header(srs_id: int) -> bytes:
     import struct

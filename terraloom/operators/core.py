@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -17,11 +16,11 @@ FID, GEOMETRY = "_fid", "geometry"
 
 
 def json_kind(value: Column) -> Column:
-    """bool, int, double or string, of a JSON value as text; null for null. A number is int without point or exponent."""
+    """bool, int, double or string, of a JSON value as text; null for null. A number is int without point or exponent, if 64 bits hold it."""
     return (
         F.when(value.isNull() | (value == "null"), None)
         .when(value.isin("true", "false"), "bool")
-        .when(value.rlike(r"^-?\d+$"), "int")
+        .when(value.rlike(r"^-?\d+$") & value.try_cast("bigint").isNotNull(), "int")
         .when(value.rlike(r"^-?\d"), "double")
         .otherwise("string")
     )
@@ -107,7 +106,9 @@ def running_number(df: DataFrame, order: list[str], name: str = "rn") -> DataFra
     spark = df.sparkSession
     from pyspark import StorageLevel
 
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    # ties in the order are told apart by all other columns, so that a partition that is computed again has the same numbers
+    rest = [c for c, kind in df.dtypes if c not in order and not kind.startswith(("map", "variant"))]
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order, *rest).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
     counts = sorted((r["__p"], r["count"]) for r in ordered.groupBy("__p").count().collect())  # one row for each partition
     before, total = [], 0
     for p, n in counts:
@@ -150,10 +151,6 @@ def zip_rows(left: DataFrame, right: DataFrame, number: str = "row") -> DataFram
     return left.join(right, number)
 
 
-def ordered_distinct(values: Iterable) -> list:
-    return list(dict.fromkeys(v for v in values if v is not None))
-
-
 def map_positions(features: DataFrame, f: Callable) -> DataFrame:
     """Features with positions replaced by ``f`` of (n, 4) arrays; see ``positions_mapped``."""
     from ..functions.columns import positions_mapped
@@ -161,15 +158,6 @@ def map_positions(features: DataFrame, f: Callable) -> DataFrame:
     return features.withColumn(GEOMETRY, positions_mapped(F.col(GEOMETRY), f))
 
 
-def property_pairs(text: str | None) -> list[dict[str, str]] | None:
-    """Keys and JSON values of an object, in order, doubles kept."""
-    from ..functions.geometry import json_text
-
-    if text is None:
-        return None
-    return [{"k": k, "v": json_text(v)} for k, v in json.loads(text, object_pairs_hook=lambda p: p)]
-
-
 def ring_numbers(rings: DataFrame, fid: str, ring: str | list[str], clockwise: str) -> DataFrame:
     """Rings with the number of the shell each belongs to: the first and each clockwise one open a shell."""
     order = W.partitionBy(fid).orderBy(*([ring] if isinstance(ring, str) else ring))

@@ -5,10 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..formats import FORMATS
 from ..functions import columns as C
 from ..operators import core as O
 
@@ -206,20 +204,6 @@ def ring_grouping(spark, sf_dir):
     return O.ring_numbers(r, "l_orderkey", order, "cw").select("l_orderkey", "l_linenumber", "l_partkey", "shell")
 
 
-@query("SELECT l_orderkey, l_linenumber, CAST(sum(l_linenumber + 3) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING) AS BIGINT) AS ring_end FROM lineitem")
-def ring_ends_prefix_sum(spark, sf_dir):
-    w = W.partitionBy("l_orderkey").orderBy("l_linenumber").rowsBetween(W.unboundedPreceding, 0)
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.sum(F.col("l_linenumber") + 3).over(w).alias("ring_end"))
-
-
-@query("""WITH a AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS row FROM customer), b AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS row FROM orders)
-SELECT a.row AS row, c_custkey, o_orderkey FROM a JOIN b ON a.row = b.row""")
-def positional_zip_join(spark, sf_dir):
-    a = O.running_number(read(spark, sf_dir, "customer").select("c_custkey"), ["c_custkey"], "row")
-    b = O.running_number(read(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], "row")
-    return a.join(b, "row")
-
-
 _LAYERS = "SELECT 'a' AS layer, c_custkey AS id FROM customer WHERE c_nationkey < 5 UNION ALL SELECT 'b' AS layer, c_custkey AS id FROM customer WHERE c_nationkey >= 5"
 
 
@@ -230,42 +214,6 @@ def layer_upsert(spark, sf_dir):
     return O.upsert_layers(c, s, "layer")
 
 
-@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
-def layer_filter(spark, sf_dir):
-    return read(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "F").select("o_orderkey", "o_orderstatus")
-
-
-_CODE = "CASE n_regionkey WHEN 0 THEN 'EPSG:4326' WHEN 1 THEN 'EPSG:3857' WHEN 2 THEN 'EPSG:4326' ELSE 'OGC:CRS84' END"
-
-
-@query(f"SELECT {_CODE} AS code, min(n_nationkey) AS first_layer FROM nation GROUP BY 1")
-def distinct_crs_codes(spark, sf_dir):
-    code = F.when(F.col("n_regionkey").isin(0, 2), "EPSG:4326").when(F.col("n_regionkey") == 1, "EPSG:3857").otherwise("OGC:CRS84")
-    return read(spark, sf_dir, "nation").groupBy(code.alias("code")).agg(F.min("n_nationkey").alias("first_layer"))
-
-
-@query("SELECT n_nationkey, n_name, r_name AS definition FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) r ON n_regionkey = r_regionkey")
-def srs_left_join(spark, sf_dir):
-    r = read(spark, sf_dir, "region").where("r_regionkey < 3")
-    return read(spark, sf_dir, "nation").join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_nationkey", "n_name", F.col("r_name").alias("definition"))
-
-
-@query("SELECT o_orderkey FROM orders WHERE NOT (o_orderkey % 5 = 0)")
-def deleted_row_drop(spark, sf_dir):
-    return read(spark, sf_dir, "orders").where(~(F.col("o_orderkey") % 5 == 0)).select("o_orderkey")
-
-
-@query("SELECT CAST(max(strlen(c_name)) AS BIGINT) AS name_width, CAST(max(strlen(CAST(c_custkey AS VARCHAR))) AS BIGINT) AS key_width, CAST(max(strlen(c_mktsegment)) AS BIGINT) AS segment_width FROM customer")
-def dbf_field_widths(spark, sf_dir):
-    w = lambda c: F.max(F.octet_length(F.col(c).cast("string"))).cast("bigint")
-    return read(spark, sf_dir, "customer").agg(w("c_name").alias("name_width"), w("c_custkey").alias("key_width"), w("c_mktsegment").alias("segment_width"))
-
-
-@query("SELECT c_custkey, left(c_name, 10) AS name FROM customer")
-def text_truncate_10(spark, sf_dir):
-    return read(spark, sf_dir, "customer").select("c_custkey", C.clipped_column(F.col("c_name"), 10).alias("name"))
-
-
 @query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' WHEN epoch_us(ts) % 1000 = 0 THEN '.' || lpad(CAST(epoch_us(ts) % 1000000 // 1000 AS VARCHAR), 3, '0') ELSE '.' || lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0') END AS iso FROM events""")
 def iso_timestamp_text(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", C.iso_timestamp(F.col("ts").cast("timestamp")).alias("iso"))
@@ -286,16 +234,6 @@ def hex_text(spark, sf_dir):
     return read(spark, sf_dir, "region").select("r_regionkey", F.lower(F.hex("r_name")).alias("hex"))
 
 
-@query("SELECT event_id, CAST(json(props) AS VARCHAR) AS props FROM events")
-def json_compact(spark, sf_dir):
-    return read(spark, sf_dir, "events").select("event_id", F.to_json(F.parse_json("props")).alias("props"))
-
-
-@query("SELECT c_custkey, CAST(8 + 21 AS INT) AS bytes FROM customer")
-def gpb_blob_len(spark, sf_dir):
-    return customer_points(spark, sf_dir).select(F.col(O.FID).alias("c_custkey"), F.length(C.gpb_of(F.col(O.GEOMETRY))).alias("bytes"))
-
-
 @query("SELECT c_custkey FROM customer WHERE c_custkey BETWEEN 100 AND 900 AND c_nationkey BETWEEN 3 AND 12")
 def extent_intersects(spark, sf_dir):
     b = C.bbox_of(F.col(O.GEOMETRY))
@@ -313,13 +251,3 @@ def map_positions_shift(spark, sf_dir):
 
     moved = O.map_positions(customer_points(spark, sf_dir), shift)
     return moved.select(F.col(O.FID).alias("c_custkey"), C.wkt_of(F.col(O.GEOMETRY)).alias("wkt"))
-
-
-@query("""SELECT c_mktsegment AS value, CASE WHEN regexp_matches(c_mktsegment, '[,"\\n\\r]') THEN '"' || replace(c_mktsegment, '"', '""') || '"' ELSE c_mktsegment END AS field FROM customer""")
-def csv_field_text(spark, sf_dir):
-    return read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("value"), C.csv_field(F.col("c_mktsegment")).alias("field"))
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{f.name}', '{f.extension}', {str(f.z).upper()}, {str(f.m).upper()}, {str(f.layers).upper()}, {str(f.keeps_properties).upper()})" for f in FORMATS) + ") AS t(name, extension, z, m, layers, keeps_properties)")
-def format_capabilities(spark, sf_dir):
-    return spark.createDataFrame([(f.name, f.extension, f.z, f.m, f.layers, f.keeps_properties) for f in FORMATS], "name string, extension string, z boolean, m boolean, layers boolean, keeps_properties boolean")

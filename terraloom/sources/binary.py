@@ -96,40 +96,97 @@ def _root(buf: bytes) -> _Table:
     return _Table(buf, struct.unpack_from("<I", buf, 0)[0])
 
 
+def level_sizes(n: int, node: int) -> list[int]:
+    """Nodes of each level of a packed tree over n features, leaves first; above the leaves there is at least a root."""
+    sizes = [n]
+    while len(sizes) < 2 or sizes[-1] > 1:
+        sizes.append(-(-sizes[-1] // node))
+    return sizes
+
+
 def index_size(n: int, node: int) -> int:
     """Bytes of a packed tree over n features."""
-    total = level = n
-    while level > 1:
-        level = -(-level // node)
-        total += level
-    return total * 40
+    return sum(level_sizes(n, node)) * 40
 
 
-def read_fgb(data: bytes) -> tuple[list[Feature], Crs | None]:
+@dataclass
+class FgbHead:
+    """What the header of a FlatGeobuf file says, and where index and features begin."""
+
+    columns: list[tuple[str, int]]
+    kind: int
+    z: bool
+    m: bool
+    count: int
+    node: int
+    crs: Crs | None
+    index: int
+    features: int
+
+
+def fgb_head(data: bytes) -> FgbHead:
+    """``data`` holds at least the header."""
     if data[:4] != FGB_MAGIC[:4]:
         raise FormatError("not a FlatGeobuf file")
-    at = 8
-    (size,) = struct.unpack_from("<I", data, at)
-    header = _root(data[at + 4 : at + 4 + size])
-    at += 4 + size
+    (size,) = struct.unpack_from("<I", data, 8)
+    header = _root(data[12 : 12 + size])
     columns = [(c.text(0) or "", c.value(1, "<B")) for c in header.tables(7)]
-    kind, z, m = header.value(2, "<B"), header.value(3, "<?", False), header.value(4, "<?", False)
     count, node = header.value(8, "<Q"), header.value(9, "<H", 16)
-    if node and count:
-        at += index_size(count, node)
-    out = []
-    while at + 4 <= len(data):
-        (size,) = struct.unpack_from("<I", data, at)
-        f = _root(data[at + 4 : at + 4 + size])
-        at += 4 + size
-        g = f.table(0)
-        out.append((_fgb_properties(f.vector(1, "<u1"), columns), _fgb_geometry(g, kind, z, m) if g else None))
     c = header.table(10)
     crs = None
     if c:
         code = c.value(1, "<i")
         crs = Crs.of_code(c.text(0), str(code) if code else c.text(5), wkt=c.text(4))
-    return out, crs
+    index = 12 + size
+    return FgbHead(columns, header.value(2, "<B"), header.value(3, "<?", False), header.value(4, "<?", False), count, node if count else 0, crs, index, index + (index_size(count, node) if node and count else 0))
+
+
+def fgb_crs(path: str) -> Crs | None:
+    """The CRS of a file, of which only the header is read."""
+    with open(path, "rb") as file:
+        start = file.read(12)
+        if start[:4] != FGB_MAGIC[:4] or len(start) < 12:
+            raise FormatError("not a FlatGeobuf file")
+        return fgb_head(start + file.read(struct.unpack_from("<I", start, 8)[0])).crs
+
+
+def search_fgb(data: bytes, box: tuple[float, float, float, float]) -> list[int]:
+    """Byte offsets (from the first feature) of the features whose boxes meet ``box``, found by walking the packed tree."""
+    head = fgb_head(data)
+    if not head.node:
+        raise FormatError("the file has no index")
+    sizes = level_sizes(head.count, head.node)[::-1]
+    starts = [sum(sizes[:i]) for i in range(len(sizes))]
+    found, open_ = [], [(0, 0)]
+    while open_:
+        at, level = open_.pop()
+        minx, miny, maxx, maxy, ref = struct.unpack_from("<4dQ", data, head.index + 40 * at)
+        if minx > box[2] or maxx < box[0] or miny > box[3] or maxy < box[1]:
+            continue
+        if level == len(sizes) - 1:
+            found.append(ref)
+        else:
+            end = starts[level + 1] + sizes[level + 1]
+            open_ += [(i, level + 1) for i in range(ref, min(ref + head.node, end))]
+    return sorted(found)
+
+
+def fgb_feature(data: bytes, head: FgbHead, offset: int) -> Feature:
+    """The feature at an offset from the first one."""
+    at = head.features + offset
+    (size,) = struct.unpack_from("<I", data, at)
+    f = _root(data[at + 4 : at + 4 + size])
+    g = f.table(0)
+    return _fgb_properties(f.vector(1, "<u1"), head.columns), _fgb_geometry(g, head.kind, head.z, head.m) if g else None
+
+
+def read_fgb(data: bytes) -> tuple[list[Feature], Crs | None]:
+    head, out = fgb_head(data), []
+    at = head.features
+    while at + 4 <= len(data):
+        out.append(fgb_feature(data, head, at - head.features))
+        at += 4 + struct.unpack_from("<I", data, at)[0]
+    return out, head.crs
 
 
 def _fgb_properties(raw, columns) -> list[tuple[str, object]]:
@@ -295,10 +352,10 @@ def _centre_value(box, extent) -> int:
 
 
 def packed_tree(boxes: list[tuple], sizes: list[int]) -> bytes:
-    """Nodes of a packed tree, root first: box and, for leaves, the feature's byte offset, else the first child's."""
+    """Nodes of a packed tree, root first: box and, for leaves, the feature's byte offset, else the number of the first child's node."""
     offsets = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(int).tolist()
     levels = [[(*b, o) for b, o in zip(boxes, offsets, strict=True)]]
-    while len(levels[-1]) > 1:
+    while len(levels) < 2 or len(levels[-1]) > 1:
         below = levels[-1]
         groups = [below[i : i + NODE] for i in range(0, len(below), NODE)]
         levels.append([(min(c[0] for c in g), min(c[1] for c in g), max(c[2] for c in g), max(c[3] for c in g), i * NODE) for i, g in enumerate(groups)])
@@ -306,8 +363,8 @@ def packed_tree(boxes: list[tuple], sizes: list[int]) -> bytes:
     out, start = [], 0
     for k, level in enumerate(levels):
         start += len(level)
-        for *box, ref in level:  # an inner node refers to its first child by the bytes from the tree's start
-            out.append(struct.pack("<4dQ", *box, ref if k == len(levels) - 1 else (start + ref) * 40))
+        for *box, ref in level:
+            out.append(struct.pack("<4dQ", *box, ref if k == len(levels) - 1 else start + ref))
     return b"".join(out)
 
 
@@ -537,12 +594,14 @@ def gpkg_layers(path: str) -> list[tuple[str, str, int, Crs | None]]:
     """(table, geometry column, greatest rowid, CRS) of each feature layer."""
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
         tables = {r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type = 'table'")}
-        geometry = {t: (c, s) for t, c, s in db.execute("SELECT table_name, column_name, srs_id FROM gpkg_geometry_columns")}
+        geometry = {t: (c, s) for t, c, s in db.execute("SELECT table_name, column_name, srs_id FROM gpkg_geometry_columns")} if "gpkg_geometry_columns" in tables else {}
         srs = {i: (o, c, d) for i, o, c, d in db.execute("SELECT srs_id, organization, organization_coordsys_id, definition FROM gpkg_spatial_ref_sys") if isinstance(i, int)}
         out = []
         for (name,) in db.execute("SELECT table_name FROM gpkg_contents WHERE data_type = 'features' ORDER BY rowid").fetchall():
-            if name in tables and name in geometry:
-                column, i = geometry[name]
+            if name in tables:
+                column, i = geometry.get(name) or (_geometry_like(db, name), 0)  # a layer whose geometry isn't registered
+                if column is None:
+                    continue
                 crs = None
                 if i not in (0, -1) and i in srs:
                     o, c, d = srs[i]
@@ -552,10 +611,35 @@ def gpkg_layers(path: str) -> list[tuple[str, str, int, Crs | None]]:
         return out
 
 
+def _geometry_like(db, table: str) -> str | None:
+    """A column that holds geometries by its declared type, or by its name."""
+    info = db.execute(f'PRAGMA table_info("{_quoted(table)}")').fetchall()
+    kinds = {"GEOMETRY", *(k.upper() for k in G.CODES)}
+    return next((r[1] for r in info if (r[2] or "").upper() in kinds), next((r[1] for r in info if r[1].lower() in ("geom", "geometry")), None))
+
+
 def _quoted(name: str) -> str:
     return name.replace('"', '""')
 
 
+def gpkg_ranges(path: str, table: str, rows: int) -> list[tuple[int, int]]:
+    """Ranges low < rowid <= high of about as many rows each, whatever gaps the rowids have; only every so-manieth is read."""
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+        name = _quoted(table)
+        out, low = [], None
+        first = db.execute(f'SELECT min(rowid) FROM "{name}"').fetchone()[0]
+        if first is None:
+            return [(0, 0)]
+        low = first - 1
+        while True:
+            high = db.execute(f'SELECT rowid FROM "{name}" WHERE rowid > ? ORDER BY rowid LIMIT 1 OFFSET ?', (low, rows - 1)).fetchone()
+            if high is None:
+                last = db.execute(f'SELECT max(rowid) FROM "{name}"').fetchone()[0]
+                return [*out, (low, last)] if last > low else out
+            out.append((low, high[0]))
+            low = high[0]
+
+
 def gpkg_before(path: str, table: str) -> int:
     """The number before a layer's first rowid; rowids can be 0 and negative."""
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
@@ -598,7 +682,14 @@ GPKG_TABLES = """
 CREATE TABLE gpkg_spatial_ref_sys (srs_name TEXT NOT NULL, srs_id INTEGER PRIMARY KEY, organization TEXT NOT NULL, organization_coordsys_id INTEGER NOT NULL, definition TEXT NOT NULL, description TEXT);
 CREATE TABLE gpkg_contents (table_name TEXT NOT NULL PRIMARY KEY, data_type TEXT NOT NULL, identifier TEXT UNIQUE, description TEXT DEFAULT '', last_change DATETIME NOT NULL DEFAULT (strftime('%Y-%m-%dT%H:%M:%fZ','now')), min_x DOUBLE, min_y DOUBLE, max_x DOUBLE, max_y DOUBLE, srs_id INTEGER);
 CREATE TABLE gpkg_geometry_columns (table_name TEXT NOT NULL, column_name TEXT NOT NULL, geometry_type_name TEXT NOT NULL, srs_id INTEGER NOT NULL, z TINYINT NOT NULL, m TINYINT NOT NULL, PRIMARY KEY (table_name, column_name));
-CREATE TABLE gpkg_extensions (table_name TEXT, column_name TEXT, extension_name TEXT NOT NULL, definition TEXT NOT NULL, scope TEXT NOT NULL);
+CREATE TABLE gpkg_extensions (
+  table_name TEXT,
+  column_name TEXT,
+  extension_name TEXT NOT NULL,
+  definition TEXT NOT NULL,
+  scope TEXT NOT NULL,
+  CONSTRAINT ge_tce UNIQUE (table_name, column_name, extension_name)
+);
 """
 SQL_TYPES = {"bool": "BOOLEAN", "int": "INTEGER", "double": "REAL", "string": "TEXT"}
 

@@ -78,7 +78,7 @@ def crs_of(path: str, f: Format) -> dict[str, Crs | None]:
         prj = binary.sibling(first, "prj")
         text = open(prj, encoding="utf-8", errors="replace").read().strip() if prj else ""  # noqa: SIM115
         return {"": Crs.of_definition(text) if text else None}
-    return {"": features_of(first, f)[1]}
+    return {"": binary.fgb_crs(first)}
 
 
 class FeatureSource(DataSource):
@@ -106,10 +106,9 @@ class FeatureReader(DataSourceReader):
             return [Part(p, i) for i, p in enumerate(paths)]
         out = []
         for p in paths:
-            for name, column, n, _ in binary.gpkg_layers(p):
+            for name, column, _, _ in binary.gpkg_layers(p):
                 if self.layer in (None, name):
-                    before = binary.gpkg_before(p, name)
-                    out += [Part(p, len(out), name, column, low, min(n, low + ROWS)) for low in range(before, max(n, before + 1), ROWS)]
+                    out += [Part(p, len(out), name, column, low, high) for low, high in binary.gpkg_ranges(p, name, ROWS)]
         if not out:
             raise textual.FormatError(f"{self.path} has no layer {self.layer or 'of features'}")
         return out

@@ -11,6 +11,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from ..crs.model import WGS84, Crs
@@ -23,7 +24,9 @@ from .textual import FormatError
 
 def footer(path: str) -> tuple[dict | None, list[str]]:
     """The ``geo`` value of a file (or of the first file of a folder) and its columns."""
-    first = next(p for p in expand(path) if p.endswith(".parquet"))
+    first = next((p for p in expand(path) if p.endswith(".parquet")), None)
+    if first is None:
+        raise FormatError(f"no Parquet file is at {path}")
     schema = pq.read_schema(first)
     raw = (schema.metadata or {}).get(b"geo")
     geo = json.loads(raw) if raw else None
@@ -111,14 +114,14 @@ class GeoParquetSource(DataSource):
         return "terraloom_geoparquet"
 
     def writer(self, schema, overwrite) -> DataSourceArrowWriter:
-        return GeoParquetWriter(self.options["path"], self.options["geo"])
+        return GeoParquetWriter(self.options["path"], self.options["geo"], schema)
 
 
 class GeoParquetWriter(DataSourceArrowWriter):
     """One file for each task, under a name of its own; the driver removes what an aborted job left."""
 
-    def __init__(self, path: str, geo: str):
-        self.path, self.geo = path, geo
+    def __init__(self, path: str, geo: str, schema: T.StructType):
+        self.path, self.geo, self.schema = path, geo, schema
 
     def write(self, batches) -> WriterCommitMessage:
         from pyspark import TaskContext
@@ -140,6 +143,10 @@ class GeoParquetWriter(DataSourceArrowWriter):
         for m in messages:
             if m and m.path:
                 os.replace(f"{m.path}.tmp", m.path)
+        if not any(m and m.path for m in messages):  # no features: a file without rows says what there would be
+            os.makedirs(self.path, exist_ok=True)
+            empty = to_arrow_schema(self.schema).empty_table().replace_schema_metadata({b"geo": self.geo.encode()})
+            pq.write_table(empty, os.path.join(self.path, f"part-00000-{uuid.uuid4().hex}.parquet"))
 
     def abort(self, messages) -> None:
         for m in messages:

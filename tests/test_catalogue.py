@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from terraloom.plans import catalogue
+from terraloom.plans import catalogue, formats  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

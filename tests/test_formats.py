@@ -2,6 +2,7 @@ import io
 import json
 import os
 import sqlite3
+import struct
 
 import pytest
 
@@ -126,6 +127,44 @@ def test_fgb_index(tmp_path):
     assert len(binary.packed_tree(boxes, [1] * 40)) == binary.index_size(40, 16)
 
 
+@pytest.mark.parametrize("n", [1, 16, 17, 300])
+def test_fgb_index_is_walked(tmp_path, n):
+    points = [(float(i * 7 % 101), float(i * 13 % 97)) for i in range(n)]
+    binary.write_fgb([([("i", i)], G.Geometry("Point", (*p, None, None))) for i, p in enumerate(points)], str(tmp_path / "x.fgb"))
+    data = (tmp_path / "x.fgb").read_bytes()
+    head = binary.fgb_head(data)
+    assert head.count == n and head.features - head.index == 40 * sum(binary.level_sizes(n, 16)) >= 80
+    root, child = struct.unpack_from("<4d", data, head.index), struct.unpack_from("<Q", data, head.index + 32)[0]
+    assert child == 1 and root == (min(x for x, _ in points), min(y for _, y in points), max(x for x, _ in points), max(y for _, y in points))
+    for box in ((0.0, 0.0, 50.0, 50.0), (3.0, 90.0, 4.0, 97.0), (-9.0, -9.0, -1.0, -1.0), (-1.0, -1.0, 200.0, 200.0)):
+        found = sorted(dict(binary.fgb_feature(data, head, at)[0])["i"] for at in binary.search_fgb(data, box))
+        assert found == [i for i, (x, y) in enumerate(points) if box[0] <= x <= box[2] and box[1] <= y <= box[3]]
+    assert sorted(dict(p)["i"] for p, _ in binary.read_fgb(data)[0]) == list(range(n))
+
+
+def test_wide_integers_and_empty_collections(spark, tmp_path):
+    (tmp_path / "w.geojson").write_text('{"type":"FeatureCollection","features":[{"type":"Feature","geometry":null,"properties":{"a":12345678901234567890,"b":1}},{"type":"Feature","geometry":null,"properties":{"a":5,"b":9223372036854775807}}]}')
+    found = read(spark, str(tmp_path / "w.geojson")).df
+    assert dict(found.dtypes)["a"] == "double" and [tuple(r) for r in found.orderBy("_fid").select("a", "b").collect()] == [(12345678901234567890.0, 1), (5.0, 9223372036854775807)]
+    (tmp_path / "e.geojson").write_text('{"type":"FeatureCollection","features":[]}')
+    convert(spark, str(tmp_path / "e.geojson"), str(tmp_path / "e.parquet"))
+    assert read(spark, str(tmp_path / "e.parquet")).df.count() == 0
+    (tmp_path / "none.parquet").mkdir()
+    with pytest.raises(textual.FormatError):
+        read(spark, str(tmp_path / "none.parquet"))
+
+
+def test_gpkg_ranges_and_unregistered_layers(spark, sample, tmp_path):
+    target = str(tmp_path / "r.gpkg")
+    convert(spark, sample, target)
+    name = binary.gpkg_layers(target)[0][0]
+    with sqlite3.connect(target) as db:
+        db.execute(f'UPDATE "{name}" SET fid = 1000000000000 WHERE fid = 3')
+        db.execute("DELETE FROM gpkg_geometry_columns")
+    assert binary.gpkg_ranges(target, name, 2) == [(0, 2), (2, 10**12)]
+    assert binary.gpkg_layers(target)[0][1] == "geom" and read(spark, target).df.count() == 3
+
+
 def test_kml_details():
     text = b'<kml xmlns="x"><Document><Folder><Placemark><name>A&amp;B</name><ExtendedData><SchemaData><SimpleData name="n">1</SimpleData></SchemaData></ExtendedData><MultiGeometry><Point><coordinates>1,2,3</coordinates></Point><Point><coordinates>4,5,6</coordinates></Point></MultiGeometry></Placemark></Folder></Document></kml>'
     (found,) = textual.read_kml(text)
