@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import shutil
+import zipfile
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +24,20 @@ class ConversionError(ValueError):
     pass
 
 
-def read_layers(spark: SparkSession, path: str, f: Format | str | None = None, layer: str | None = None) -> dict[str, FeatureFrame]:
-    """All layers of a file or folder, in their order; formats without layers have one, without a name."""
+def read_layers(spark: SparkSession, path: str, f: Format | str | None = None, layer: str | None = None, kept: list[DataFrame] | None = None) -> dict[str, FeatureFrame]:
+    """All layers of a file or folder, in their order; formats without layers have one, without a name.
+
+    With a list ``kept``, what is parsed from files is kept by Spark for later jobs (executors that are lost parse again), and added to
+    the list; the caller lets go of it by ``unpersist``.
+    """
+
+    def raw_of(name: str | None = None) -> DataFrame:
+        raw = features.read_raw(spark, path, f, name)
+        if kept is None:
+            return raw
+        kept.append(raw)
+        return features.spread(raw)
+
     f = format_of(f) if isinstance(f, str) else f or format_of_path(path)
     if f is GEOPARQUET:
         df, crs = geoparquet.read(spark, path)
@@ -32,14 +46,16 @@ def read_layers(spark: SparkSession, path: str, f: Format | str | None = None, l
         return {"": FeatureFrame(features.read_lines(spark, path))}
     systems = features.crs_of(path, f)
     if f is CSV:
-        return {"": FeatureFrame(core.typed_properties(features.read_csv(spark, path)), None)}
+        raw = features.read_csv(spark, path)
+        if kept is not None:
+            kept.append(raw.persist())
+        return {"": FeatureFrame(core.typed_properties(raw), None)}
     if f is not GEOPACKAGE:
-        raw = features.read_raw(spark, path, f)
-        return {"": FeatureFrame(core.typed_properties(raw), systems.get(""))}
+        return {"": FeatureFrame(core.typed_properties(raw_of()), systems.get(""))}
     if layer is not None and layer not in systems:
         raise ConversionError(f"{path} has no layer {layer}")
     names = [n for n in systems if layer in (None, n)]
-    return {n: FeatureFrame(core.typed_properties(features.read_raw(spark, path, f, n)), systems[n], n) for n in names}
+    return {n: FeatureFrame(core.typed_properties(raw_of(n)), systems[n], n) for n in names}
 
 
 def read(spark: SparkSession, path: str, f: Format | str | None = None, layer: str | None = None) -> FeatureFrame:
@@ -71,7 +87,11 @@ def ordered(df: DataFrame) -> DataFrame:
 
 
 def write(frame: FeatureFrame, path: str, f: Format | str | None = None, *, rtree: bool = False, envelope: bool = False) -> list[str]:
-    """Write a frame; returns warnings of the writer. GeoParquet and WKT folders are written by the executors, a partition each."""
+    """Write a frame; returns warnings of the writer.
+
+    GeoParquet is written by the executors, a file for each partition. Of other formats, which are a single file, the executors make the text
+    (or FlatGeobuf's features), and the driver puts it together; GeoPackage and Shapefile are made by the driver.
+    """
     f = format_of(f) if isinstance(f, str) else f or format_of_path(path)
     if f is GEOPARQUET:
         if path.endswith(".parquet") and os.path.isdir(path):
@@ -81,7 +101,16 @@ def write(frame: FeatureFrame, path: str, f: Format | str | None = None, *, rtre
     if f is GEOPACKAGE:
         return write_layers({frame.layer or os.path.splitext(os.path.basename(path))[0]: frame}, path, rtree=rtree, envelope=envelope)
     if f is FLATGEOBUF:
-        binary.write_fgb(frame.features(), path, frame.crs)
+        columns = kinds(frame)
+
+        def rows(found):
+            if found:
+                made = zip(*(binary.fgb_row(x, columns) for x in found), strict=True)
+                types = (pa.binary(), pa.list_(pa.float64()), pa.int32(), pa.bool_(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, types, strict=True)], names=["blob", "box", "kind", "z", "m"])
+
+        made = frame.encoded(rows, "blob binary, box array<double>, kind int, z boolean, m boolean")
+        binary.write_fgb_rows([(bytes(r.blob), r.box, r.kind, r.z, r.m) for r in made], columns, path, frame.crs)
         return []
     if f is SHAPEFILE:
         made = binary.write_shapefile(list(FeatureFrame(ordered(frame.df)).features()), frame.crs)
@@ -91,10 +120,13 @@ def write(frame: FeatureFrame, path: str, f: Format | str | None = None, *, rtre
                 with open(f"{stem}.{extension}", "wb") as out:
                     out.write(data)
         return made.warnings
-    writers = {GEOJSON: textual.write_geojson, WKT: textual.write_wkt, CSV: textual.write_csv, KML: textual.write_kml, KMZ: textual.write_kmz}
+    form = {GEOJSON: textual.GEOJSON_FORM, WKT: textual.WKT_FORM, CSV: textual.csv_form(frame.columns()), KML: textual.KML_FORM, KMZ: textual.KML_FORM}[f]
     with open(f"{path}.part", "wb") as out:
-        extra = {"names": frame.columns()} if f is CSV else {}
-        writers[f](frame.features(), out, frame.crs, **extra)
+        if f is KMZ:
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z, z.open("doc.kml", "w") as doc:
+                form.join(frame.texts(form), doc)
+        else:
+            form.join(frame.texts(form), out)
     os.replace(f"{path}.part", path)
     return []
 
@@ -118,7 +150,15 @@ def convert(spark: SparkSession, source: str, target: str, *, from_: str | None
         raise ConversionError(f"{target} has no extension; name the format with --to")
     if a is b and a is not GEOPACKAGE:
         raise ConversionError(f"source and target are both {a.title}")
-    found = read_layers(spark, source, a, layer)
+    kept: list[DataFrame] = []
+    try:
+        return _converted(read_layers(spark, source, a, layer, kept), source, target, a, b, layer, crs, sort_hilbert, rtree, envelope)
+    finally:
+        for df in kept:
+            df.unpersist()
+
+
+def _converted(found: dict[str, FeatureFrame], source: str, target: str, a: Format, b: Format, layer: str | None, crs: Crs | None, sort_hilbert: bool, rtree: bool, envelope: bool) -> list[str]:
     warnings: list[str] = []
     if crs is not None:
         for other in {x.crs for x in found.values() if x.crs and x.crs != crs}:
@@ -127,7 +167,7 @@ def convert(spark: SparkSession, source: str, target: str, *, from_: str | None
     if sort_hilbert:
         found = {n: x.sort_hilbert() for n, x in found.items()}
     for x in found.values():
-        warnings += losses(x, b)
+        warnings += losses(x, b, a.m)
     if b is GEOPACKAGE:
         stem = os.path.splitext(os.path.basename(source))[0]
         warnings += write_layers({layer or n or stem: x for n, x in found.items()}, target, rtree=rtree, envelope=envelope)

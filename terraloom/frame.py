@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from itertools import repeat
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .crs.model import Crs
 from .functions import geometry as G
+from .functions.columns import type_code
 from .operators import core
 
 
@@ -39,7 +42,32 @@ class FeatureFrame:
         return core.bounds(self.df)
 
     def has_m(self) -> bool:
-        return bool(core.bounds(self.df).select(F.col("minm").isNotNull().alias("m")).first().m)
+        """Whether any geometry has measures, by the headers."""
+        return bool(self.df.agg(F.bool_or((type_code(F.col(core.GEOMETRY)) / 1000).cast("int").isin(2, 3)).alias("m")).first().m)
+
+    def encoded(self, each: Callable, schema: str) -> Iterator:
+        """What ``each`` makes of the features of a batch (a list of them), on the executors; the batches' rows (of ``schema``) arrive in order."""
+        names = self.columns()
+
+        def run(batches):
+            for b in batches:
+                values = [c.to_pylist() for c in b.columns]
+                shapes = [None if g is None else G.from_wkb(g) for g in values.pop()]
+                rows = zip(*values, strict=True) if values else repeat(())
+                yield from each([(list(zip(names, row, strict=True)), g) for g, row in zip(shapes, rows, strict=False)])
+
+        made = self.df.select(*[F.col(f"`{n}`") for n in names], core.GEOMETRY).mapInArrow(run, schema)
+        yield from made.toLocalIterator(prefetchPartitions=True)
+
+    def texts(self, form) -> Iterator[bytes]:
+        """Texts of features, joined by batches on the executors, in order."""
+
+        def each(found):
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([form.between.join(map(form.each, found)).encode()], pa.binary())], names=["chunk"])
+
+        for r in self.encoded(each, "chunk binary"):
+            yield bytes(r.chunk)
 
     def features(self) -> Iterator[tuple[list[tuple[str, object]], G.Geometry | None]]:
         """Features on the driver, in order, a partition at a time: for formats of a single file."""

@@ -107,7 +107,10 @@ def number_text(v: float) -> str:
         return "NaN" if v != v else "inf" if v > 0 else "-inf"
     if v == int(v) and abs(v) < 1e15:
         return "-0" if v == 0 and str(v)[0] == "-" else str(int(v))
-    text = format(Decimal(repr(v)), "f")
+    text = repr(v)
+    if "e" not in text:
+        return text
+    text = format(Decimal(text), "f")
     return text.rstrip("0").rstrip(".") if "." in text else text
 
 
@@ -119,8 +122,14 @@ def _flags(g: Geometry) -> tuple[bool, bool]:
     return (p is not None and p[2] is not None, p is not None and p[3] is not None)
 
 
+_POINT = struct.Struct("<BIdd")
+_POINT_HEAD = b"\x01\x01\x00\x00\x00"
+
+
 def to_wkb(g: Geometry) -> bytes:
     """Little-endian ISO WKB; the first position tells whether z and m are written, absent ones are 0."""
+    if g.kind == "Point" and g.coordinates[2] is None and g.coordinates[3] is None:
+        return _POINT.pack(1, 1, *g.coordinates[:2])
     z, m = _flags(g)
     return b"".join(_wkb(g, z, m))
 
@@ -153,6 +162,9 @@ def _wkb(g: Geometry, z: bool, m: bool) -> Iterator[bytes]:
 
 def from_wkb(data: bytes) -> Geometry:
     """Geometry of little-endian ISO WKB; bytes behind it are ignored."""
+    if data[:5] == _POINT_HEAD and len(data) >= 21:
+        _, _, x, y = _POINT.unpack_from(data)
+        return Geometry("Point", (x, y, None, None))
     return _Wkb(data).geometry()
 
 
@@ -236,7 +248,8 @@ def _wkt_body(g: Geometry, z: bool, m: bool) -> str:
 
 def from_wkt(text: str) -> Geometry:
     tokens, at = [], 0
-    while at < len(text.rstrip()):
+    end = len(text.rstrip())
+    while at < end:
         found = _TOKEN.match(text, at)
         if not found:
             raise GeometryError(f"unexpected WKT at {at}")

@@ -250,39 +250,49 @@ def _put_geometry(b, g: G.Geometry) -> int:
     return b.EndObject()
 
 
-def write_fgb(features: Iterable[Feature], path: str, crs: Crs | None = None) -> None:
-    """A FlatGeobuf file; in Hilbert order with a packed tree if there are features and all have geometries."""
+def fgb_row(feature: Feature, kinds: list[tuple[str, str]]) -> tuple[bytes, list[float] | None, int, bool, bool]:
+    """A feature as it stands in the file, its box, its geometry's type (0 without one), and whether it has z and m."""
     import flatbuffers
 
+    p, g = feature
+    b = flatbuffers.Builder(256)
+    values, raw = dict(reversed(p)), bytearray()
+    for i, (k, kind) in enumerate(kinds):
+        v = cell(values.get(k), kind)
+        if v is not None:
+            form = FGB_WRITE[kind][1]
+            body = struct.pack(form, v) if form else struct.pack("<I", len(v.encode())) + v.encode()
+            raw += struct.pack("<H", i) + body
+    shape = _put_geometry(b, g) if g else 0
+    properties = b.CreateByteVector(bytes(raw)) if raw else 0
+    b.StartObject(3)
+    if shape:
+        b.PrependUOffsetTRelativeSlot(0, shape, 0)
+    if properties:
+        b.PrependUOffsetTRelativeSlot(1, properties, 0)
+    b.FinishSizePrefixed(b.EndObject())
+    box, first = g.bbox() if g else None, g.first() if g else None
+    return bytes(b.Output()), list(map(float, box[:4])) if box else None, G.CODES[g.kind] if g else 0, bool(first and first[2] is not None), bool(first and first[3] is not None)
+
+
+def write_fgb(features: Iterable[Feature], path: str, crs: Crs | None = None) -> None:
     features = list(features)
     kinds = column_kinds(features)
-    boxes = [g.bbox() if g else None for _, g in features]
-    indexed = bool(features) and all(b is not None for b in boxes)
+    write_fgb_rows([fgb_row(f, kinds) for f in features], kinds, path, crs)
+
+
+def write_fgb_rows(rows: list[tuple], kinds: list[tuple[str, str]], path: str, crs: Crs | None = None) -> None:
+    """A FlatGeobuf file of ``fgb_row``s; in Hilbert order with a packed tree if there are features and all have geometries."""
+    import flatbuffers
+
+    boxes = [r[1] for r in rows]
+    indexed = bool(rows) and all(b is not None for b in boxes)
     if indexed:
         extent = [f(b[i] for b in boxes) for i, f in ((0, min), (1, min), (2, max), (3, max))]
-        order = sorted(range(len(features)), key=lambda i: (_centre_value(boxes[i], extent), i))
-        features, boxes = [features[i] for i in order], [boxes[i] for i in order]
-    types = {g.kind for _, g in features if g}
-    firsts = [g.first() for _, g in features if g]
-    blobs = []
-    for p, g in features:
-        b = flatbuffers.Builder(256)
-        values, raw = dict(reversed(p)), bytearray()
-        for i, (k, kind) in enumerate(kinds):
-            v = cell(values.get(k), kind)
-            if v is not None:
-                form = FGB_WRITE[kind][1]
-                body = struct.pack(form, v) if form else struct.pack("<I", len(v.encode())) + v.encode()
-                raw += struct.pack("<H", i) + body
-        shape = _put_geometry(b, g) if g else 0
-        properties = b.CreateByteVector(bytes(raw)) if raw else 0
-        b.StartObject(3)
-        if shape:
-            b.PrependUOffsetTRelativeSlot(0, shape, 0)
-        if properties:
-            b.PrependUOffsetTRelativeSlot(1, properties, 0)
-        b.FinishSizePrefixed(b.EndObject())
-        blobs.append(bytes(b.Output()))
+        order = sorted(range(len(rows)), key=lambda i: (_centre_value(boxes[i], extent), i))
+        rows, boxes = [rows[i] for i in order], [boxes[i] for i in order]
+    types = {r[2] for r in rows if r[2]}
+    blobs = [r[0] for r in rows]
     b = flatbuffers.Builder(1024)
     made = []
     for k, kind in kinds:
@@ -312,11 +322,11 @@ def write_fgb(features: Iterable[Feature], path: str, crs: Crs | None = None) ->
     b.StartObject(14)
     if envelope:
         b.PrependUOffsetTRelativeSlot(1, envelope, 0)
-    b.PrependUint8Slot(2, G.CODES[next(iter(types))] if len(types) == 1 else 0, 0)
-    b.PrependBoolSlot(3, any(p and p[2] is not None for p in firsts), False)
-    b.PrependBoolSlot(4, any(p and p[3] is not None for p in firsts), False)
+    b.PrependUint8Slot(2, next(iter(types)) if len(types) == 1 else 0, 0)
+    b.PrependBoolSlot(3, any(r[3] for r in rows), False)
+    b.PrependBoolSlot(4, any(r[4] for r in rows), False)
     b.PrependUOffsetTRelativeSlot(7, columns, 0)
-    b.PrependUint64Slot(8, len(features), 0)
+    b.PrependUint64Slot(8, len(rows), 0)
     b.PrependUint16Slot(9, NODE if indexed else 0, 16)
     if system:
         b.PrependUOffsetTRelativeSlot(10, system, 0)

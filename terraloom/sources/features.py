@@ -11,6 +11,7 @@ import glob
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -118,14 +119,20 @@ class FeatureReader(DataSourceReader):
             rows = binary.gpkg_rows(part.path, part.layer, part.column, part.low, part.high)
         else:
             rows = enumerate(features_of(part.path, format_of(self.format))[0], 1)
-        batch = []
-        for fid, (properties, g) in rows:
-            batch.append({"_layer": part.layer, "_fid": fid if self.format == GEOPACKAGE.name else (part.number << 40) + fid, "properties": [{"k": k, "v": G.json_text(v)} for k, v in properties], "geometry": G.to_wkb(g) if g else None})
-            if len(batch) >= BATCH:
-                yield pa.RecordBatch.from_pylist(batch, schema=_ARROW)
-                batch = []
-        if batch:
-            yield pa.RecordBatch.from_pylist(batch, schema=_ARROW)
+        first = 0 if self.format == GEOPACKAGE.name else part.number << 40
+        rows = iter(rows)
+        while batch := list(islice(rows, BATCH)):
+            fids, keys, values, ends, shapes = [], [], [], [0], []
+            for fid, (properties, g) in batch:
+                fids.append(first + fid)
+                for k, v in properties:
+                    keys.append(k)
+                    values.append(G.json_text(v))
+                ends.append(len(keys))
+                shapes.append(G.to_wkb(g) if g else None)
+            pairs = pa.StructArray.from_arrays([pa.array(keys, pa.string()), pa.array(values, pa.string())], names=["k", "v"])
+            columns = [pa.array([part.layer] * len(fids), pa.string()), pa.array(fids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs), pa.array(shapes, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=_ARROW)
 
 
 def read_raw(spark: SparkSession, path: str, f: Format, layer: str | None = None) -> DataFrame:
@@ -134,6 +141,12 @@ def read_raw(spark: SparkSession, path: str, f: Format, layer: str | None = None
     return (reader.option("layer", layer) if layer else reader).load(path)
 
 
+def spread(raw: DataFrame) -> DataFrame:
+    """Features of one file dealt to all cores by ranges of their number, in order, and kept, so that the file is parsed once."""
+    parts = max(raw.sparkSession.sparkContext.defaultParallelism, int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return raw.persist().repartitionByRange(parts, FID).sortWithinPartitions(FID)
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """WKT lines of files of any size; no line is lost, blank ones are skipped, a bad one is an error."""
     lines = spark.read.text(path).select(F.monotonically_increasing_id().alias(FID), F.trim("value").alias("v")).where(F.length("v") > 0)

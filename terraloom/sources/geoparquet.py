@@ -15,9 +15,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from ..crs.model import WGS84, Crs
-from ..functions.columns import iso_timestamp
+from ..functions.columns import bbox_of, iso_timestamp, type_name
 from ..functions.geometry import raw_at
-from ..operators.core import FID, GEOMETRY, bounds, columns_of, geometry_types
+from ..operators.core import FID, GEOMETRY, columns_of
 from .features import expand
 from .textual import FormatError
 
@@ -96,9 +96,10 @@ def read(spark: SparkSession, path: str, bbox: tuple[float, float, float, float]
 
 
 def geo_value(features: DataFrame, crs: Crs | None) -> dict:
-    """The ``geo`` key: bounds and types in two small aggregates."""
-    b, t = bounds(features).first(), geometry_types(features).first()
-    meta: dict = {"encoding": "WKB", "geometry_types": list(t.types)}
+    """The ``geo`` key: bounds and types in one aggregate."""
+    found = F.sort_array(F.collect_set("type")).alias("types")
+    b = features.select(type_name(F.col(GEOMETRY)).alias("type"), bbox_of(F.col(GEOMETRY)).alias("b")).agg(found, *[f(f"b.{n}").alias(n) for n, f in (("minx", F.min), ("miny", F.min), ("maxx", F.max), ("maxy", F.max), ("minz", F.min), ("maxz", F.max))]).first()
+    meta: dict = {"encoding": "WKB", "geometry_types": list(b.types)}
     if b.minx is not None:
         meta["bbox"] = [b.minx, b.miny, b.maxx, b.maxy] if b.minz is None else [b.minx, b.miny, b.minz, b.maxx, b.maxy, b.maxz]
     if crs is None:

@@ -11,7 +11,10 @@ import json
 import re
 import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+from functools import partial
+from itertools import chain
 from xml.sax.saxutils import escape
 
 from ..functions import geometry as G
@@ -30,8 +33,23 @@ class Pairs(list):
         return {k: _plain(v) for k, v in reversed(self)}
 
 
+def _object(pairs: list):
+    """An object whose names all differ is a dict; others stay pairs."""
+    found = dict(pairs)
+    return found if len(found) == len(pairs) else Pairs(pairs)
+
+
+def _plain_top(v) -> dict:
+    return v if isinstance(v, dict) else dict(reversed(v))
+
+
 def _plain(v):
-    return v.to_dict() if isinstance(v, Pairs) else [_plain(x) for x in v] if isinstance(v, list) else v
+    """Pairs, at any depth, as dicts in which the first of equal names wins."""
+    if isinstance(v, Pairs):
+        return v.to_dict()
+    if isinstance(v, list):
+        return [_plain(x) for x in v] if any(isinstance(x, list | dict) for x in v) else v
+    return {k: _plain(x) for k, x in v.items()} if isinstance(v, dict) else v
 
 
 # ---- GeoJSON
@@ -39,10 +57,10 @@ def _plain(v):
 
 def read_geojson(data: bytes) -> Iterator[Feature]:
     """Features of a FeatureCollection, a Feature or a bare geometry."""
-    root = json.loads(data.decode(), object_pairs_hook=Pairs)
-    if not isinstance(root, Pairs):
+    root = json.loads(data.decode(), object_pairs_hook=_object)
+    if not isinstance(root, dict | Pairs):
         raise FormatError("GeoJSON is an object")
-    top = dict(reversed(root))
+    top = _plain_top(root)
     if isinstance(top.get("features"), list):
         for f in top["features"]:
             yield _feature(f)
@@ -55,11 +73,11 @@ def read_geojson(data: bytes) -> Iterator[Feature]:
 
 
 def _feature(f) -> Feature:
-    if not isinstance(f, Pairs):
+    if not isinstance(f, dict | Pairs):
         raise FormatError("a feature is an object")
-    top = dict(reversed(f))
-    g = top.get("geometry")
-    return [(k, _plain(v)) for k, v in top.get("properties") or []], G.from_geojson(_plain(g)) if g is not None else None
+    top = _plain_top(f)
+    g, p = top.get("geometry"), top.get("properties") or {}
+    return [(k, _plain(v)) for k, v in (p.items() if isinstance(p, dict) else p)], G.from_geojson(_plain(g)) if g is not None else None
 
 
 def geojson_feature(feature: Feature) -> str:
@@ -68,11 +86,31 @@ def geojson_feature(feature: Feature) -> str:
     return f'{{"type":"Feature","geometry":{G.geojson_text(g)},"properties":{{{body}}}}}'
 
 
+@dataclass(frozen=True)
+class TextForm:
+    """How a text format is put together: what opens it, a feature's text, what stands between features, what ends it."""
+
+    head: str
+    each: Callable[[Feature], str]
+    between: str = ""
+    tail: str = ""
+
+    def write(self, features: Iterable[Feature], out: io.BufferedIOBase) -> None:
+        self.join((self.each(f).encode() for f in features), out)
+
+    def join(self, chunks: Iterable[bytes], out: io.BufferedIOBase) -> None:
+        """Write chunks of features' texts that are joined already."""
+        out.write(self.head.encode())
+        for i, c in enumerate(chunks):
+            out.write(self.between.encode() * (i > 0) + c)
+        out.write(self.tail.encode())
+
+
+GEOJSON_FORM = TextForm('{"type":"FeatureCollection","features":[', geojson_feature, ",", "]}")
+
+
 def write_geojson(features: Iterable[Feature], out: io.BufferedIOBase, crs=None) -> None:
-    out.write(b'{"type":"FeatureCollection","features":[')
-    for i, f in enumerate(features):
-        out.write(("," * (i > 0) + geojson_feature(f)).encode())
-    out.write(b"]}")
+    GEOJSON_FORM.write(features, out)
 
 
 # ---- WKT lines
@@ -87,9 +125,15 @@ def read_wkt(data: bytes) -> Iterator[Feature]:
                 raise FormatError(f"line {n}: {e}") from e
 
 
+def wkt_line(feature: Feature) -> str:
+    return (G.to_wkt(feature[1]) if feature[1] else "") + "\n"
+
+
+WKT_FORM = TextForm("", wkt_line)
+
+
 def write_wkt(features: Iterable[Feature], out: io.BufferedIOBase, crs=None) -> None:
-    for _, g in features:
-        out.write(((G.to_wkt(g) if g else "") + "\n").encode())
+    WKT_FORM.write(features, out)
 
 
 # ---- CSV
@@ -136,17 +180,20 @@ def csv_text(v) -> str:
     return "" if v is None else v if isinstance(v, str) else G.json_text(v)
 
 
+def csv_row(feature: Feature, names: list[str]) -> str:
+    values, g = dict(reversed(feature[0])), feature[1]
+    return ",".join([*(csv_field(csv_text(values.get(n))) for n in names), csv_field(G.to_wkt(g) if g else "")]) + "\n"
+
+
+def csv_form(names: list[str]) -> TextForm:
+    return TextForm(",".join(map(csv_field, [*names, "geometry"])) + "\n", partial(csv_row, names=names))
+
+
 def write_csv(features: Iterable[Feature], out: io.BufferedIOBase, crs=None, names: list[str] | None = None) -> None:
-    first = True
-    for p, g in features:
-        values = dict(reversed(p))
-        if first:
-            names = names or [k for k, _ in p]
-            out.write((",".join(map(csv_field, [*names, "geometry"])) + "\n").encode())
-            first = False
-        out.write((",".join([*(csv_field(csv_text(values.get(n))) for n in names), csv_field(G.to_wkt(g) if g else "")]) + "\n").encode())
-    if first:
-        out.write((",".join(map(csv_field, [*(names or []), "geometry"])) + "\n").encode())
+    features = iter(features)
+    first = next(features, None)
+    form = csv_form(names or [k for k, _ in first[0]] if first else names or [])
+    form.write([] if first is None else chain([first], features), out)
 
 
 # ---- KML
@@ -254,11 +301,11 @@ def kml_placemark(feature: Feature) -> str:
     return f"<Placemark>{''.join(special)}{extended}{kml_geometry(feature[1]) if feature[1] else ''}</Placemark>"
 
 
+KML_FORM = TextForm('<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2"><Document>', kml_placemark, "", "</Document></kml>\n")
+
+
 def write_kml(features: Iterable[Feature], out: io.BufferedIOBase, crs=None) -> None:
-    out.write(b'<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2"><Document>')
-    for f in features:
-        out.write(kml_placemark(f).encode())
-    out.write(b"</Document></kml>\n")
+    KML_FORM.write(features, out)
 
 
 def read_kmz(data: bytes) -> Iterator[Feature]:
