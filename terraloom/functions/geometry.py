@@ -333,6 +333,10 @@ def from_geojson(value: Any) -> Geometry | None:
     if not isinstance(value, dict) or "type" not in value:
         raise GeometryError("a GeoJSON geometry is an object with a type")
     kind = value["type"]
+    if kind == "Point":
+        c = value.get("coordinates")
+        if type(c) is list and len(c) == 2 and type(c[0]) is float and type(c[1]) is float:
+            return Geometry(kind, (c[0], c[1], None, None))
     if kind == "GeometryCollection":
         return Geometry(kind, [from_geojson(g) for g in value.get("geometries") or []])
     if kind not in DEPTH:
