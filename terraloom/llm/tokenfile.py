@@ -27,7 +27,6 @@ import re
 import unicodedata
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,12 +100,15 @@ class PieceEncoder:
         self.byte_level = settings.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         letters = _byte_letters()
         self.letters = {b: letters[b] for b in range(256)}
-        self.model, self.code = self.tokenizer.model, "H" if self.type.itemsize == 2 else "I"
+        self.model = self.tokenizer.model
+        self.written = [i.to_bytes(self.type.itemsize, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.pieces = _Cache(self._piece, cache)
 
     def _piece(self, piece: str) -> bytes:
-        written = piece.encode().decode("latin-1").translate(self.letters)
-        return array(self.code, [t.id for t in self.model.tokenize(written)]).tobytes()
+        # printable ASCII but the space stands for itself
+        letters = piece.replace(" ", self.letters[32]) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
+        ids = self.written
+        return b"".join([ids[t.id] for t in self.model.tokenize(letters)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out, whole, ids = [b""] * len(texts), [], self.pieces.__getitem__
