@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import argparse
 import os
+import sqlite3
 import sys
 import tempfile
 
+from pyspark.errors import PySparkException
+
 from .convert import ConversionError, convert
 from .crs.model import Crs, distinct_codes, single_definition
 from .formats import GEOPARQUET, SHAPEFILE, format_of, format_of_path
@@ -90,9 +93,15 @@ def run(argv: list[str]) -> int:
 
             spark = local_session()
             target = a.target if a.target != "-" else os.path.join(folder, f"stdout.{format_of(a.to).extension}")
+            read: list[int] = []
+
+            def told(layer: str, n: int) -> None:
+                read.append(n)
+                say(f"read {n} features" + (f" of {layer}" if layer else ""))
+
             if a.progress:
                 say(f"reading {a.source}")
-            warnings = convert(spark, source, target, from_=f.name, to=a.to, layer=a.layer, crs=crs, sort_hilbert=a.sort_hilbert, rtree=a.rtree, envelope=a.envelope)
+            warnings = convert(spark, source, target, from_=f.name, to=a.to, layer=a.layer, crs=crs, sort_hilbert=a.sort_hilbert, rtree=a.rtree, envelope=a.envelope, progress=told if a.progress else None)
             if not a.quiet:
                 for w in warnings:
                     say(f"warning: {w}")
@@ -100,9 +109,9 @@ def run(argv: list[str]) -> int:
                 with open(target, "rb") as made:
                     sys.stdout.buffer.write(made.read())
             elif a.progress:
-                say(f"wrote {a.target}")
+                say(f"wrote {sum(read)} features in {len(read)} layer{'s' * (len(read) != 1)} to {a.target}")
             return 0
-        except (ConversionError, ValueError, OSError) as e:
+        except (ConversionError, ValueError, OSError, sqlite3.Error, PySparkException) as e:
             say(f"error: {e}")
             return 1
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -142,8 +142,8 @@ def write_layers(layers: dict[str, FeatureFrame], path: str, *, rtree: bool = Fa
     return []
 
 
-def convert(spark: SparkSession, source: str, target: str, *, from_: str | None = None, to: str | None = None, layer: str | None = None, crs: Crs | None = None, sort_hilbert: bool = False, rtree: bool = False, envelope: bool = False) -> list[str]:
-    """Read, relabel, reorder and write; returns all warnings, each once."""
+def convert(spark: SparkSession, source: str, target: str, *, from_: str | None = None, to: str | None = None, layer: str | None = None, crs: Crs | None = None, sort_hilbert: bool = False, rtree: bool = False, envelope: bool = False, progress: Callable[[str, int], None] | None = None) -> list[str]:
+    """Read, relabel, reorder and write; returns all warnings, each once. ``progress`` is told of each layer read, with its number of features."""
     a = format_of(from_) if from_ else format_of_path(source)
     b = format_of(to) if to else format_of_path(target) if os.path.splitext(target)[1] else None
     if b is None:
@@ -152,7 +152,10 @@ def convert(spark: SparkSession, source: str, target: str, *, from_: str | None
         raise ConversionError(f"source and target are both {a.title}")
     kept: list[DataFrame] = []
     try:
-        return _converted(read_layers(spark, source, a, layer, kept), source, target, a, b, layer, crs, sort_hilbert, rtree, envelope)
+        found = read_layers(spark, source, a, layer, kept)
+        for name, frame in found.items() if progress else ():
+            progress(name, count(frame))
+        return _converted(found, source, target, a, b, layer, crs, sort_hilbert, rtree, envelope)
     finally:
         for df in kept:
             df.unpersist()

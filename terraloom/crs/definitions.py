@@ -19,6 +19,16 @@ _FE, _FN = ("false_easting", "False easting", 8806, "length"), ("false_northing"
 _SP1, _SP2 = ("standard_parallel_1", "Latitude of 1st standard parallel", 8823, "angle"), ("standard_parallel_2", "Latitude of 2nd standard parallel", 8824, "angle")
 _FLAT, _FLON = ("latitude_of_origin", "Latitude of false origin", 8821, "angle"), ("central_meridian", "Longitude of false origin", 8822, "angle")
 _FFE, _FFN = ("false_easting", "Easting at false origin", 8826, "length"), ("false_northing", "Northing at false origin", 8827, "length")
+_CENTRE = ("latitude_of_center", "Latitude of projection centre", 8811, "angle"), ("longitude_of_center", "Longitude of projection centre", 8812, "angle")
+_AZIMUTH, _KC = ("azimuth", "Azimuth at projection centre", 8813, "angle"), ("scale_factor", "Scale factor at projection centre", 8815, "scale")
+_CFE, _CFN = ("false_easting", "Easting at projection centre", 8816, "length"), ("false_northing", "Northing at projection centre", 8817, "length")
+
+
+def _named(*parameters):
+    """Parameters that WKT1 calls by their full names too."""
+    return tuple((name, name, code, kind) for _, name, code, kind in parameters)
+
+
 METHODS = (
     ("Transverse_Mercator", "Transverse Mercator", 9807, (_LAT0, _LON0, _K0, _FE, _FN)),
     ("Mercator_1SP", "Mercator (variant A)", 9804, (_LAT0, _LON0, _K0, _FE, _FN)),
@@ -29,11 +39,25 @@ METHODS = (
     ("Oblique_Stereographic", "Oblique Stereographic", 9809, (_LAT0, _LON0, _K0, _FE, _FN)),
     ("Polar_Stereographic", "Polar Stereographic (variant A)", 9810, (_LAT0, _LON0, _K0, _FE, _FN)),
     ("Cassini_Soldner", "Cassini-Soldner", 9806, (_LAT0, _LON0, _FE, _FN)),
-    ("Hotine_Oblique_Mercator", "Hotine Oblique Mercator (variant A)", 9812, (("latitude_of_center", "Latitude of projection centre", 8811, "angle"), ("longitude_of_center", "Longitude of projection centre", 8812, "angle"), ("azimuth", "Azimuth of initial line", 8813, "angle"), ("rectified_grid_angle", "Angle from Rectified to Skew Grid", 8814, "angle"), ("scale_factor", "Scale factor on initial line", 8815, "scale"), _FE, _FN)),
+    ("Hotine_Oblique_Mercator", "Hotine Oblique Mercator (variant A)", 9812, (("latitude_of_center", "Latitude of projection centre", 8811, "angle"), ("longitude_of_center", "Longitude of projection centre", 8812, "angle"), ("azimuth", "Azimuth at projection centre", 8813, "angle"), ("rectified_grid_angle", "Angle from Rectified to Skew Grid", 8814, "angle"), ("scale_factor", "Scale factor at projection centre", 8815, "scale"), _FE, _FN)),
     ("Polyconic", "American Polyconic", 9818, (_LAT0, _LON0, _FE, _FN)),
+    ("Bonne_(South_Orientated)", "Bonne (South Orientated)", 9828, _named(_LAT0, _LON0, _FE, _FN)),
+    ("Equirectangular", "Equidistant Cylindrical", 1028, (_SP1, _LON0, _FE, _FN)),
+    ("Hotine_Oblique_Mercator_Azimuth_Center", "Hotine Oblique Mercator (variant B)", 9815, (*_CENTRE, _AZIMUTH, ("rectified_grid_angle", "Angle from Rectified to Skew Grid", 8814, "angle"), _KC, _CFE, _CFN)),
+    ("Laborde_Oblique_Mercator", "Laborde Oblique Mercator", 9813, (*_CENTRE, _AZIMUTH, _KC, _FE, _FN)),
+    ("Lambert_Conformal_Conic_2SP_Belgium", "Lambert Conic Conformal (2SP Belgium)", 9803, (_FLAT, _FLON, _SP1, _SP2, _FFE, _FFN)),
+    ("Lambert_Conic_Conformal_(West_Orientated)", "Lambert Conic Conformal (West Orientated)", 9826, _named(_LAT0, _LON0, _K0, _FE, _FN)),
+    ("Lambert_Conic_Near-Conformal", "Lambert Conic Near-Conformal", 9817, _named(_LAT0, _LON0, _K0, _FE, _FN)),
+    ("Local Orthographic", "Local Orthographic", 1130, (*_CENTRE, _AZIMUTH, _KC, _CFE, _CFN)),
+    ("Mercator_2SP", "Mercator (variant B)", 9805, (_SP1, _LON0, _FE, _FN)),
+    ("New_Zealand_Map_Grid", "New Zealand Map Grid", 9811, (_LAT0, _LON0, _FE, _FN)),
+    ("Polar_Stereographic_(variant_C)", "Polar Stereographic (variant C)", 9830, _named(("", "Latitude of standard parallel", 8832, "angle"), ("", "Longitude of origin", 8833, "angle"), _FFE, _FFN)),
+    ("Transverse_Mercator_South_Orientated", "Transverse Mercator (South Orientated)", 9808, (_LAT0, _LON0, _K0, _FE, _FN)),
+    ("Transverse_Mercator_Zoned_Grid_System", "Transverse Mercator Zoned Grid System", 9824, _named(_LAT0, ("", "Initial longitude", 8830, "angle"), ("", "Zone width", 8831, "angle"), _K0, _FE, _FN)),
+    ("Tunisia_Mining_Grid", "Tunisia Mining Grid", 9816, (_FLAT, _FLON, _FFE, _FFN)),
 )
-#: Methods whose axes are east, north when WKT1 names none.
-PLAIN_AXES = {m[0] for m in METHODS} - {"Polar_Stereographic"}
+#: Methods whose axes are east, north when WKT1 names none: none of their systems points south or west.
+PLAIN_AXES = {"Equirectangular", "Hotine_Oblique_Mercator", "Lambert_Conformal_Conic_2SP_Belgium", "Lambert_Conic_Near-Conformal", "Local Orthographic", "New_Zealand_Map_Grid", "Polyconic", "Transverse_Mercator_Zoned_Grid_System", "Tunisia_Mining_Grid"}
 
 
 class WktError(ValueError):
@@ -147,8 +171,18 @@ def _geographic(node: Node) -> dict | None:
     return out | _id(node)
 
 
-def _unit(kind: str) -> str:
-    return {"angle": "degree", "length": "metre", "scale": "unity"}[kind]
+_UNIT_TYPES = {"ANGLEUNIT": "AngularUnit", "SCALEUNIT": "ScaleUnit", "LENGTHUNIT": "LinearUnit", "UNIT": "LinearUnit"}
+
+
+def _unit_of(unit: Node | None, default: str) -> str | dict | None:
+    """The unit of a UNIT node as PROJJSON writes it; None if its factor is missing."""
+    if unit is None:
+        return default
+    name = str(unit.values[0])
+    if name.lower() in ("degree", "metre", "meter", "unity"):
+        return {"meter": "metre"}.get(name.lower(), name.lower())
+    factors = [v for v in unit.values[1:] if not isinstance(v, Node)]
+    return {"type": _UNIT_TYPES[unit.name], "name": name, "conversion_factor": _number(factors[0])} if factors else None
 
 
 def projjson_of_wkt(text: str) -> dict | None:
@@ -166,18 +200,19 @@ def projjson_of_wkt(text: str) -> dict | None:
     if inner is None:
         return None
     inner.pop("$schema")
-    unit = node.get("UNIT", "LENGTHUNIT")
-    if unit and len(unit.values) > 1 and unit.values[1] != 1:
+    length = _unit_of(node.get("UNIT", "LENGTHUNIT"), "metre")
+    if length is None:
         return None
+    units = {"angle": "degree", "length": length, "scale": "unity"}
     if node.name == "PROJCS":
         method = node.get("PROJECTION")
         known = method and next((m for m in METHODS if m[0].lower() == str(method.values[0]).lower()), None)
         if not known or not node.all("AXIS") and known[0] not in PLAIN_AXES:
             return None
         given = {str(p.values[0]).lower(): p.values[1] for p in node.all("PARAMETER") if len(p.values) > 1}
-        if set(given) != {p[0] for p in known[3]}:
+        if set(given) != {p[0].lower() for p in known[3]}:
             return None
-        parameters = [{"name": p[1], "value": _number(given[p[0]]), "unit": _unit(p[3]), "id": {"authority": "EPSG", "code": p[2]}} for p in known[3]]
+        parameters = [{"name": p[1], "value": _number(given[p[0].lower()]), "unit": units[p[3]], "id": {"authority": "EPSG", "code": p[2]}} for p in known[3]]
         conversion = {"name": "unnamed", "method": {"name": known[1], "id": {"authority": "EPSG", "code": known[2]}}, "parameters": parameters}
     else:
         c = node.get("CONVERSION")
@@ -187,11 +222,11 @@ def projjson_of_wkt(text: str) -> dict | None:
         parameters = []
         for p in c.all("PARAMETER"):
             u = next((k for k in p.values if isinstance(k, Node) and k.name in ("ANGLEUNIT", "LENGTHUNIT", "SCALEUNIT")), None)
-            parameters.append({"name": p.values[0], "value": _number(p.values[1]), "unit": {"ANGLEUNIT": "degree", "LENGTHUNIT": "metre", "SCALEUNIT": "unity"}[u.name] if u else "unity", **_id(p)})
+            parameters.append({"name": p.values[0], "value": _number(p.values[1]), "unit": _unit_of(u, "unity"), **_id(p)})
         conversion = {"name": c.values[0], "method": {"name": method.values[0], **_id(method)}, "parameters": parameters, **_id(c)}
     axes = [a for a in node.all("AXIS") if len(a.values) > 1]
-    axis = [{"name": re.sub(r"\s*\(.*\)", "", str(a.values[0])) or str(a.values[0]), "abbreviation": (re.search(r"\((.*)\)", str(a.values[0])) or [None, str(a.values[0])[:1].upper()])[1], "direction": str(a.values[1].name if isinstance(a.values[1], Node) else a.values[1]).lower(), "unit": "metre"} for a in axes]
-    axis = axis or [{"name": "Easting", "abbreviation": "E", "direction": "east", "unit": "metre"}, {"name": "Northing", "abbreviation": "N", "direction": "north", "unit": "metre"}]
+    axis = [{"name": re.sub(r"\s*\(.*\)", "", str(a.values[0])) or str(a.values[0]), "abbreviation": (re.search(r"\((.*)\)", str(a.values[0])) or [None, str(a.values[0])[:1].upper()])[1], "direction": str(a.values[1].name if isinstance(a.values[1], Node) else a.values[1]).lower(), "unit": _unit_of(a.get("LENGTHUNIT"), length)} for a in axes]
+    axis = axis or [{"name": "Easting", "abbreviation": "E", "direction": "east", "unit": length}, {"name": "Northing", "abbreviation": "N", "direction": "north", "unit": length}]
     return {"$schema": "https://proj.org/schemas/v0.7/projjson.schema.json", "type": "ProjectedCRS", "name": node.values[0], "base_crs": inner, "conversion": conversion, "coordinate_system": {"subtype": "Cartesian", "axis": axis}} | _id(node)
 
 
@@ -226,14 +261,18 @@ def wkt_of_projjson(value: dict) -> str | None:
             base = wkt_of_projjson({"type": "GeographicCRS", **value["base_crs"]})
             method = value["conversion"]["method"]["name"]
             known = next((m for m in METHODS if m[1] == method), None)
-            if base is None or known is None or any(a.get("unit") != "metre" for a in value["coordinate_system"]["axis"]):
+            units = [a.get("unit", "metre") for a in value["coordinate_system"]["axis"]]
+            if base is None or known is None or any(u != units[0] for u in units):
                 return None
+            name, factor = ("metre", 1) if units[0] == "metre" else (units[0]["name"], units[0]["conversion_factor"])
             given = {p["name"]: p for p in value["conversion"]["parameters"]}
             if set(given) != {p[1] for p in known[3]}:
                 return None
+            if any(p[3] == "length" and given[p[1]].get("unit", "metre") != units[0] for p in known[3]):
+                return None
             parameters = ",".join(f"PARAMETER[{_quoted(p[0])},{_text(given[p[1]]['value'])}]" for p in known[3])
             axes = ",".join(f"AXIS[{_quoted(a['name'])},{a['direction'].upper()}]" for a in value["coordinate_system"]["axis"])
-            return f"PROJCS[{_quoted(value['name'])},{base},PROJECTION[{_quoted(known[0])}],{parameters},UNIT[\"metre\",1],{axes}{_authority(value)}]"
+            return f"PROJCS[{_quoted(value['name'])},{base},PROJECTION[{_quoted(known[0])}],{parameters},UNIT[{_quoted(name)},{_text(factor)}],{axes}{_authority(value)}]"
     except (KeyError, TypeError):
         return None
     return None

@@ -197,6 +197,11 @@ def test_command_line(spark, sample, tmp_path, capsys):
     assert cli.run([sample, "--print-crs-code"]) == 0 and capsys.readouterr().out == "OGC:CRS84\n"
     assert cli.run([sample, str(tmp_path / "x.geojson")]) == 1
     assert "both GeoJSON" in capsys.readouterr().err
+    assert cli.run([sample, str(tmp_path / "p.csv"), "--progress"]) == 0
+    said = capsys.readouterr().err
+    assert "\nread 3 features\n" in said and "\nwrote 3 features in 1 layer to" in said
+    (tmp_path / "bad.gpkg").write_text("no database at all, but long enough to be looked at")
+    assert cli.run([str(tmp_path / "bad.gpkg"), str(tmp_path / "x.csv")]) == 1 and "error: " in capsys.readouterr().err
     assert cli.run([sample, str(tmp_path / "x.wkt")]) == 0
     assert "warning: WKT can't hold properties" in capsys.readouterr().err
     with pytest.raises(SystemExit):
