@@ -631,7 +631,7 @@ def _quoted(name: str) -> str:
 
 
 def gpkg_ranges(path: str, table: str, rows: int) -> list[tuple[int, int]]:
-    """Ranges low < rowid <= high of about as many rows each, whatever gaps the rowids have; only every so-manieth is read."""
+    """Ranges low < rowid <= high of ``rows`` rows each (the last may have fewer), whatever gaps the rowids have."""
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
         name = _quoted(table)
         out, low = [], None
