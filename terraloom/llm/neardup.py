@@ -391,6 +391,8 @@ def candidate_edges(nodes: DataFrame, threshold: float, recall: float) -> DataFr
     for depth in range(1, DEPTH + 1):
         sizes = stage(members.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"), f"sizes{depth}")
         found = stage(join_hot(members, sizes.select("path", "n"), "path"), f"bucket{depth}")
+        if depth > 1:
+            unstage(members)
         small.append(found.where(F.col("n") <= LIMIT).select("path", "node"))
         used += [sizes, found]
         big = sizes.where(F.col("n") > LIMIT)
@@ -409,7 +411,7 @@ def candidate_edges(nodes: DataFrame, threshold: float, recall: float) -> DataFr
         unstage(large, hubs)
         used.append(judged)
         edges.append(judged.where("hub is not null and hub <> node").select(F.col("node").alias("a"), F.col("hub").alias("b")))
-        members = judged.where("stays").select("node", F.explode(_children(F.col("path"), threshold)).alias("path"))
+        members = stage(judged.where("stays").select("node", F.explode(_children(F.col("path"), threshold)).alias("path")), f"members{depth + 1}")  # read up to three times, made once
     leaves = small[0]
     for x in small[1:]:
         leaves = leaves.unionByName(x)

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terraloom.llm import decontam, license_scan, merkle, mixing, neardup, pii, queries, secret_scan, tokenfile, toxicity, urlfilter
 from terraloom.llm.common import table, tokenizer_path
@@ -432,6 +433,44 @@ def test_rows_of_near_copies_grow_in_proportion(spark, monkeypatch):
     assert staged[1] < 2.4 * staged[0] and staged[2] < 2.4 * staged[1]
 
 
+def rows_generated(spark, word, since):
+    """Rows that Spark counted at the Generate nodes with this word, in executions after ``since``; and the last execution."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store, rows, last = spark._jsparkSession.sharedState().statusStore(), 0, since
+    runs = store.executionsList()
+    for i in (runs.apply(k).executionId() for k in range(runs.size())):
+        last = max(last, i)
+        if i > since:
+            values, nodes = store.executionMetrics(i), store.planGraph(i).allNodes()
+            for node in (nodes.apply(k) for k in range(nodes.size())):
+                if node.name() == "Generate" and word in node.desc():
+                    for m in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                        if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                            rows += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return rows, last
+
+
+def test_rows_below_large_buckets_are_made_once_and_in_proportion(spark, monkeypatch):
+    due, stage = [], neardup.stage
+
+    def counted(df, name, *a):
+        out = stage(df, name, *a)
+        if name.startswith("judged"):
+            due[-1] += out.where("stays").select(F.sum(F.size(neardup._children(F.col("path"), neardup.THRESHOLD)))).first()[0] or 0
+        return out
+
+    monkeypatch.setattr(neardup, "stage", counted)
+    rng = random.Random(6)
+    line = [f"c{i}" for i in range(60)]  # every text has a line of two fifths of its words, so it stays in the large buckets
+    for n in (600, 1200):
+        texts = [(i, " ".join([*line, *(f"u{rng.randrange(10**9)}" for _ in range(90))])) for i in range(n)]
+        due.append(0)
+        before = rows_generated(spark, "fork", -1)[1]
+        neardup.near_duplicates(spark.createDataFrame(texts, "doc_id bigint, text string"))
+        assert rows_generated(spark, "fork", before)[0] == due[-1] > n
+    assert due[1] < 2.4 * due[0]
+
+
 def test_pairs_at_the_threshold_within_a_large_bucket_are_found(spark):
     rng = random.Random(2)
     line, rows, texts = [f"c{i}" for i in range(60)], [], {}
