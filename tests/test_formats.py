@@ -173,6 +173,11 @@ def test_kml_details():
         list(textual.read_kml(b"<!DOCTYPE a><kml/>"))
 
 
+def test_kml_zero_has_no_sign():
+    text = textual.kml_placemark(([("a", -0.0), ("b", 0.0), ("c", -0.5), ("d", "-0")], None))
+    assert [v for _, v in next(textual.read_kml(f"<kml>{text}</kml>".encode()))[0]] == ["0", "0", "-0.5", "-0"]
+
+
 def test_shapefile_rules():
     mixed = [([], G.from_wkt("POINT (1 2)")), ([], G.from_wkt("LINESTRING (1 2, 3 4)"))]
     with pytest.raises(textual.FormatError):
