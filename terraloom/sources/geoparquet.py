@@ -8,6 +8,7 @@ import uuid
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -164,5 +165,8 @@ def write(features: DataFrame, path: str, crs: Crs | None) -> None:
     """A folder of GeoParquet files, one for each partition."""
     spark = features.sparkSession
     spark.dataSource.register(GeoParquetSource)
-    out = features.select(*[F.col(f"`{c}`") for c in columns_of(features)], GEOMETRY)
-    out.write.format("terraloom_geoparquet").mode("append").option("geo", json.dumps(geo_value(features, crs))).save(path)
+    out = features.select(*[F.col(f"`{c}`") for c in columns_of(features)], GEOMETRY).persist(StorageLevel.DISK_ONLY)  # the footer needs all geometries before the first file is written
+    try:
+        out.write.format("terraloom_geoparquet").mode("append").option("geo", json.dumps(geo_value(out, crs))).save(path)
+    finally:
+        out.unpersist()
