@@ -6,6 +6,7 @@ The files are small and of this machine (formats of a single file are local); th
 from __future__ import annotations
 
 import atexit
+import mmap
 import os
 import shutil
 import sqlite3
@@ -13,6 +14,7 @@ import struct
 import tempfile
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,16 +25,18 @@ from ..frame import FeatureFrame
 from ..functions import columns as C
 from ..functions import geometry as G
 from ..operators import core as O
-from ..sources import binary, features, geoparquet
+from ..sources import binary, features, geoparquet, parts
 from .catalogue import ORACLES, QUERIES, customer_points, query, read, square
 
 _folder: list[str] = []
 
 
 def place(name: str) -> str:
-    """A path of its own for a file."""
-    if not _folder:
-        _folder.append(tempfile.mkdtemp(prefix="terraloom-files-"))
+    """A path of its own for a file, where executors see it too."""
+    if not _folder or not os.path.isdir(_folder[0]):
+        where = parts.shared_place(SparkSession.getActiveSession(), os.path.join(tempfile.gettempdir(), name))
+        os.makedirs(where, exist_ok=True)
+        _folder[:] = [tempfile.mkdtemp(prefix="terraloom-files-", dir=where)]
         atexit.register(shutil.rmtree, _folder[0], ignore_errors=True)
     return os.path.join(tempfile.mkdtemp(dir=_folder[0]), name)
 
@@ -137,7 +141,8 @@ def kmz_file(spark, sf_dir):
     path = written(customers(spark, sf_dir), "c.kmz")
     with zipfile.ZipFile(path, "a") as z:
         z.writestr("notes.txt", "no features")
-        z.writestr("more/other.KML", z.read("doc.kml"))
+        with zipfile.ZipFile(path) as own, own.open("doc.kml") as doc, z.open("more/other.KML", "w", force_zip64=True) as copy:
+            shutil.copyfileobj(doc, copy, parts.BLOCK)
     return back(convert.read(spark, path).df, *NAMES)
 
 
@@ -168,17 +173,20 @@ _CLOCKWISE = "'POLYGON ((' || p_partkey || ' 0, ' || p_partkey || ' ' || p_size
 def polygons_shp_rings(spark, sf_dir):
     """Shells of the file run clockwise, whatever way they came (raw rings of the records)."""
     path = written(cells(spark, sf_dir), "p.shp")
-    with open(path, "rb") as a, open(path[:-3] + "dbf", "rb") as b:
-        shp, dbf = a.read(), b.read()
-    keys = [dict(p)["key"] for p, _ in binary.read_shapefile(shp, dbf)[0]]
-    rows, at = [], 100
-    for key in keys:
-        n = struct.unpack_from(">i", shp, at + 4)[0] * 2
-        parts, points = struct.unpack_from("<2i", shp, at + 8 + 36)
-        xy = struct.unpack_from(f"<{2 * points}d", shp, at + 8 + 44 + 4 * parts)
-        rows.append((key, G.to_wkt(G.Geometry("Polygon", [[(x, y, None, None) for x, y in zip(xy[::2], xy[1::2], strict=True)]]))))
-        at += 8 + n
-    return spark.createDataFrame(rows, "key bigint, wkt string")
+    dbf = f"{path[:-3]}dbf"
+
+    def rings(piece):
+        shp, records = binary.shp_piece(path, dbf, *piece[:4])
+        rows, at = [], 100
+        for p in binary.read_dbf(records):
+            n = struct.unpack_from(">i", shp, at + 4)[0] * 2
+            count, points = struct.unpack_from("<2i", shp, at + 8 + 36)
+            xy = struct.unpack_from(f"<{2 * points}d", shp, at + 8 + 44 + 4 * count)
+            rows.append((dict(p)["key"], G.to_wkt(G.Geometry("Polygon", [[(x, y, None, None) for x, y in zip(xy[::2], xy[1::2], strict=True)]]))))
+            at += 8 + n
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([w for _, w in rows], pa.string())], names=["key", "wkt"])
+
+    return parts.over(spark, binary.shp_pieces(path, dbf, features.PIECE), rings, "key bigint, wkt string")
 
 
 _LINES = "SELECT l_orderkey AS key, 'LINESTRING ZM (' || string_agg(l_partkey || ' ' || l_suppkey || ' ' || l_linenumber || ' ' || CAST(l_quantity AS BIGINT), ', ' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) || ')' AS wkt FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1"
@@ -287,10 +295,9 @@ def flatgeobuf_index_search(spark, sf_dir):
     """Features that a walk of the packed tree finds in a box, read at the byte offsets of its leaves."""
     frame = customers(spark, sf_dir, awkward=False)
     path = written(FeatureFrame(frame.df.withColumn("name", F.regexp_replace("name", " é$", "")), frame.crs), "c.fgb")
-    with open(path, "rb") as file:
-        data = file.read()
-    head = binary.fgb_head(data)
-    found = [dict(binary.fgb_feature(data, head, at)[0]) for at in binary.search_fgb(data, (100.0, -26.0, 900.0, -15.0))]
+    with open(path, "rb") as file, mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ) as data:  # of which only nodes and features that are met are read
+        head = binary.fgb_head(data)
+        found = [dict(binary.fgb_feature(data, head, at)[0]) for at in binary.search_fgb(data, (100.0, -26.0, 900.0, -15.0))]
     return spark.createDataFrame([(p["key"], p["name"]) for p in found], "key bigint, name string")
 
 
@@ -317,15 +324,19 @@ def deleted_records(spark, sf_dir):
     path = written(FeatureFrame(frame.df.withColumn("name", F.regexp_replace("name", " é$", "")), frame.crs), "c.shp")
     dbf = path[:-3] + "dbf"
     with open(dbf, "r+b") as file:
-        data = bytearray(file.read())
-        n, head, width = struct.unpack_from("<IHH", data, 4)
-        with open(path, "rb") as shp:
-            keys = [dict(p)["key"] for p, _ in binary.read_shapefile(shp.read(), bytes(data))[0]]
-        for i, key in enumerate(keys):
-            if key % 5 == 0:
-                data[head + i * width] = 0x2A
+        n, head, width = struct.unpack("<IHH", file.read(12)[4:])
         file.seek(0)
-        file.write(data)
+        top = bytearray(file.read(head))
+        for first in range(0, n, 10_000):  # marked where they stand, some records at a time
+            count = min(10_000, n - first)
+            struct.pack_into("<I", top, 4, count)
+            file.seek(head + first * width)
+            records = bytearray(file.read(count * width))
+            for i, p in enumerate(binary.read_dbf(bytes(top + records))):
+                if dict(p)["key"] % 5 == 0:
+                    records[i * width] = 0x2A
+            file.seek(head + first * width)
+            file.write(records)
     return convert.read(spark, path).df.select("key", "name")
 
 
@@ -334,10 +345,11 @@ def dbf_widths(spark, sf_dir):
     """A text field of a .dbf is as wide as its longest value in bytes; a number's width holds its longest text."""
     path = written(customers(spark, sf_dir, awkward=False), "c.shp")
     with open(path[:-3] + "dbf", "rb") as file:
-        data = file.read()
-    head = struct.unpack_from("<H", data, 8)[0]
+        head = struct.unpack("<H", file.read(10)[8:])[0]
+        file.seek(0)
+        data = file.read(head)
     rows = [(data[at : at + 11].split(b"\0")[0].decode(), chr(data[at + 11]), data[at + 16]) for at in range(32, head - 1, 32)]
-    longest = max(len(str(k.key)) for k in customers(spark, sf_dir).df.select("key").collect())
+    longest = read(spark, sf_dir, "customer").agg(F.max(F.length(F.col("c_custkey").cast("string")))).first()[0]
     return spark.createDataFrame([(n, w if kind == "C" else min(w, longest)) for n, kind, w in rows if n in ("key", "name")], "field string, needed bigint")
 
 
@@ -373,8 +385,7 @@ def nested_properties(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     lines = e.select(F.concat(F.lit('{"type":"Feature","geometry":null,"properties":{"key":'), F.col("event_id").cast("string"), F.lit(',"props":'), F.col("props"), F.lit("}}")).alias("f"))
     path = place("e.geojson")
-    with open(path, "w", encoding="utf-8") as out:
-        out.write('{"type": "FeatureCollection", "features": [' + ",\n".join(r.f for r in lines.toLocalIterator()) + "]}")
+    parts.write_lines(lines, path, '{"type": "FeatureCollection", "features": [', ",\n", "]}")
     return convert.read(spark, path).df.select("key", "props")
 
 
