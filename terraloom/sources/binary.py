@@ -582,11 +582,12 @@ def _records(shp: bytes) -> Iterator[G.Geometry | None]:
 
 
 def shp_pieces(shp: str, dbf: str, size: int) -> list[tuple[int, int, int, int, int]]:
-    """(first byte, end, records before, records, features before) of pieces of about ``size`` bytes; deleted records are no features."""
+    """(first byte, end, records before, records, features before) of pieces of about ``size`` bytes in both files; deleted records are no features."""
     with open(shp, "rb") as file, open(dbf, "rb") as table:
         start = file.read(100)
         if len(start) < 100 or struct.unpack_from(">i", start)[0] != 9994:
             raise FormatError("not a shapefile")
+        records, head, width = struct.unpack("<IHH", table.read(12)[4:])
         cuts, at, n, buffer, base = [(100, 0)], 100, 0, b"", 100
         while True:
             if at + 8 > base + len(buffer):
@@ -594,10 +595,9 @@ def shp_pieces(shp: str, dbf: str, size: int) -> list[tuple[int, int, int, int,
                 base, buffer = at, file.read(parts.BLOCK)
                 if len(buffer) < 8:
                     break
-            if at - cuts[-1][0] >= size:
+            if at - cuts[-1][0] + (n - cuts[-1][1]) * width >= size:
                 cuts.append((at, n))
             at, n = at + 8 + 2 * struct.unpack_from(">i", buffer, at - base + 4)[0], n + 1
-        records, head, width = struct.unpack("<IHH", table.read(12)[4:])
         if records != n:
             raise FormatError(f"{n} shapes and {records} records don't pair up")
         out, kept = [], 0
